@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import symbols as S
 from ..functions import text as T
+from ..session import stage
 from ..settings import LIMITS
 
 SIGNALS_PER_PART = 512
@@ -184,11 +185,12 @@ def walk(
         edges.select("run_key", F.col("src").alias("root_id"), "pos", "dst"), ["run_key", "root_id"]
     ).filter(F.col("dst") != F.col("root_id"))
     by_root = Window.partitionBy("run_key", "root_id").orderBy(F.desc("score"), "pos")
-    first = (
+    first = stage(
         relevance_scores(first_pairs, node_profiles, signal_parts(signals))
         .withColumn("rank", F.row_number().over(by_root))
         .filter(F.col("rank") <= max_models)
-        .select("run_key", "root_id", F.col("dst").alias("node_id"), "rank", "score")
+        .select("run_key", "root_id", F.col("dst").alias("node_id"), "rank", "score"),
+        "first-steps",
     )
 
     # at most max_models + 1 of a parent's children can be seen already, so this many of

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import stage
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -79,6 +81,9 @@ VIEWS: dict[str, str] = {
         select run_key, 'test.app.unique_m_' || k || '_key.' || ps, 0, 'model.app.part_' || cast(p1 as string) from v_model where p_size > 30 and p1 is not null
         union all
         select run_key, 'test.app.unique_m_' || k || '_key.' || ps, 1, 'model.app.part_' || ps from v_model where p_size > 30""",
+    "v_child_map": """
+        select d.run_key, d.dep_id as id, n.pos as pos, d.id as child_id
+        from v_deps d join v_nodes n on n.run_key = d.run_key and n.id = d.id""",
     "v_macros": """
         select distinct run_key, p_size as pos, 'macro.app.cents_' || size_text as id, 'cents_' || size_text as name,
           'macros/cents_' || size_text || '.sql' as path from v_model""",
@@ -87,8 +92,8 @@ VIEWS: dict[str, str] = {
         union all
         select run_key, 'model.app.part_' || ps, 1, 'macro.app.missing_' || k from v_model""",
     "v_sources": """
-        select distinct run_key, 'source.app.raw.' || brand as id, brand as name, dir || '/_schema.yml' as path
-        from v_model where p_type in ('ECONOMY', 'STANDARD') and p_size % 2 = 0""",
+        select run_key, 'source.app.raw.' || brand as id, brand as name, min(dir) || '/_schema.yml' as path
+        from v_model where p_type in ('ECONOMY', 'STANDARD') group by run_key, brand""",
     "v_model_files": f"""
         select run_key, pk, dir || '/part_' || ps || '.sql' as path,
           '{{{{ config(materialized=''table'') }}}}' || {_NL} ||
@@ -116,6 +121,62 @@ VIEWS: dict[str, str] = {
           'select {{{{ fmt_' || lang || '(''x'') }}}} as label_' || lang || ', the_key from src_' || cast(doc_id % 97 as string) || {_NL} ||
           'where the_key is not null' as text
         from documents""",
+    # conversations as answers: the turn before is the context, the turn itself the answer
+    "v_answers": f"""
+        select 'c' || cast(conv_id as string) as run_key, 'models/t' || cast(turn as string) || '.sql' as file, turn as ord,
+          'SOURCE OF models/t' || cast(turn as string) || '.sql:' || {_NL} || coalesce(said, '') || {_NL} || 'SOURCE OF  macros/c.sql :' as context,
+          case (conv_id + turn) % 7
+            when 0 then '<solution>' || {_NL} || text || {_NL} || '</solution>' || {_NL} || '<file>' || {_NL} || 'models/t' || cast(turn as string) || '.sql' || {_NL} || '</file>'
+            when 1 then '<think>let me see</think>  <solution>' || text || '</solution><file>macros/c.sql</file> '
+            when 2 then '<solution>' || text || '</solution><file>macros/c.sql</file>' || {_NL} || '----' || {_NL} || '<solution>NO_FIX</solution> <file>models/t' || cast(turn as string) || '.sql</file>'
+            when 3 then 'Maybe this: ' || text
+            when 4 then '<solution>' || text || '</solution><file>models/unknown.sql</file>'
+            when 5 then '<solution> NO_FIX </solution><file>models/t' || cast(turn as string) || '.sql</file>'
+            else '<solution>diff --git ' || text || '</solution><file>macros/c.sql</file>' end as response,
+          case when turn % 3 = 0 then '<solution>' || text || '</solution><file>macros/c.sql</file>' else text end as repaired
+        from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as said from conversations) t""",
+    # orders as commits, their lines as changed paths
+    "v_commits": """
+        select o_orderkey as commit_id, case o_orderstatus when 'F' then 'failed' when 'O' then 'success' else 'running' end as status,
+          case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'feature/x' || o_orderpriority else 'main' end as branch,
+          case when o_custkey % 2 = 0 then 'GitLab' else 'Github' end as platform, o_totalprice > 200000 as has_log,
+          case when o_orderpriority = '5-LOW' then '0000000' else 'c' || cast(o_custkey as string) end as before_hash,
+          o_orderdate as at, 'p' || cast(o_custkey as string) as project
+        from orders""",
+    "v_changes": """
+        select l_orderkey as commit_id, l_linenumber as pos, 'dwh' as project,
+          case l_returnflag when 'A' then 'dwh/' when 'R' then 'dwh/' else 'other/' end ||
+          case when l_quantity < 2 then 'macros/' when l_quantity < 3 then 'packages.yml' when l_quantity < 8 then 'docs/' else 'models/core/' end ||
+          'part_' || cast(l_partkey as string) || case when l_tax < 0.02 then '.yml' else '.sql' end as path
+        from lineitem""",
+    # documents as two snapshots of a project per source
+    "v_head": f"""
+        select source as run_key, 'docs/d' || cast(doc_id as string) || '.sql' as path, text || case when lang = 'de' then {_NL} || 'select 1' else '' end as text
+        from documents where lang <> 'es'""",
+    "v_base": """
+        select source as run_key, 'docs/d' || cast(doc_id as string) || '.sql' as path, text from documents where lang <> 'fr' and source <> 'src7'""",
+    "v_base2": """
+        select source as run_key, 'docs/d' || cast(doc_id as string) || '.sql' as path, lower(text) as text from documents where source in ('src7', 'src8')""",
+    # suppliers as repositories, nations as projects with profiles
+    "v_links": """
+        select s_suppkey, case s_suppkey % 7
+          when 0 then 'https://github.com/org' || cast(s_nationkey as string) || '/repo-' || cast(s_suppkey as string) || '.git'
+          when 1 then 'git@gitlab.com:grp/sub ' || cast(s_nationkey as string) || '/~r*' || cast(s_suppkey as string) || '.git'
+          when 2 then 'www.host.org/a/b' || cast(s_suppkey as string) || '//'
+          when 3 then 'https://github.com/only' || cast(s_suppkey as string)
+          when 4 then ''
+          when 5 then ' http://h/x/y/z' || cast(s_suppkey as string) || '/ '
+          else 'nohost' || cast(s_suppkey as string) end as link
+        from supplier""",
+    "v_profiles": f"""
+        select 'p' || cast(c_custkey as string) as run_key,
+          case when c_acctbal > 0 then 'dev:' || {_NL} || '  schema: sch_' || lower(c_mktsegment) || {_NL} else '' end ||
+          case when c_nationkey > 5 then '  dbname:   db_' || cast(c_nationkey as string) || {_NL} else '' end ||
+          case when c_mktsegment = 'BUILDING' then 'ci:' || {_NL} || '  target: ci' else '' end as text
+        from customer""",
+    "v_subscribers": """
+        select 'p' || cast(o_custkey as string) as project, 't' || cast(c_nationkey as string) || '_' || cast(o_custkey as string) as tid
+        from (select distinct o_custkey from orders) o join customer on c_custkey = o_custkey""",
     "v_doc_signals": """
         select doc_key, 'label_' || lang as signal from v_long_sql
         union select doc_key, 'tion' from v_long_sql
@@ -124,26 +185,44 @@ VIEWS: dict[str, str] = {
 }
 
 
+# the projects' base table is derived once and written, then shared by the queries
+_STAGED = ("v_model",)
+_staged: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _staged_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _staged:
+        _staged[key] = stage(_select(spark, sf_dir, name, ()), name)
+    return _staged[key]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the tables of ``sf_dir``."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    ctes = with_clause(name)
-    for table in TABLES:
+    if name in _STAGED:
+        return _staged_view(spark, sf_dir, name)
+    return _select(spark, sf_dir, name, _STAGED)
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str, staged: tuple[str, ...]) -> DataFrame:
+    ctes = with_clause(name, staged)
+    for table in (*TABLES, *staged):
         if re.search(rf"\bfrom {table}\b|\bjoin {table}\b", ctes):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            view(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(ctes + f" select * from {name}")
 
 
-def _needed(sql: str, seen: dict[str, str]) -> dict[str, str]:
+def _needed(sql: str, seen: dict[str, str], skip: tuple[str, ...]) -> dict[str, str]:
     for name in VIEWS:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            _needed(VIEWS[name], seen)
+        if name not in seen and name not in skip and re.search(rf"\b{name}\b", sql):
+            _needed(VIEWS[name], seen, skip)
             seen[name] = VIEWS[name]
     return seen
 
 
-def with_clause(sql: str) -> str:
+def with_clause(sql: str, skip: tuple[str, ...] = ()) -> str:
     """``WITH`` clause that defines every view which ``sql`` mentions, directly or not."""
-    views = _needed(sql, {})
+    views = _needed(sql, {}, skip)
     return "with " + ", ".join(f"{n} as ({q})" for n, q in views.items())
