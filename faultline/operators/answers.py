@@ -196,32 +196,23 @@ def final_solution(context: Column, response: Column, repaired: Column) -> Colum
 
 
 def solution_parts(solutions: DataFrame) -> DataFrame:
-    """(run_key, idx, content, file): tagged parts of ``solutions(run_key, solution)``.
+    """(run_key, ord, idx, content, file): tagged parts of ``solutions(run_key, ord, solution)``.
 
     Answers split on the separator wherever it stands; pieces without both tags are dropped
-    and contents keep their white space.
+    and contents keep their white space.  A run's answers are joined by that very separator
+    line, so splitting each answer on its own gives the same parts, in (ord, idx) order, and
+    no run is ever gathered.
     """
     piece = F.col("piece")
     content = F.regexp_extract(piece, r"(?s)<solution>(.*?)</solution>", 1)
     file = F.regexp_extract(piece, r"(?s)<file>(.*?)</file>", 1)
     complete = piece.rlike(r"(?s)<solution>.*?</solution>") & piece.rlike(r"(?s)<file>.*?</file>")
     return (
-        solutions.select("run_key", F.posexplode(F.split("solution", P.PART_SEPARATOR, -1)).alias("idx", "piece"))
+        solutions.select("run_key", "ord", F.posexplode(F.split("solution", P.PART_SEPARATOR, -1)).alias("idx", "piece"))
         .filter(complete)
-        .select("run_key", "idx", content.alias("content"), file.alias("file"))
+        .select("run_key", "ord", "idx", content.alias("content"), file.alias("file"))
     )
 
 
 def fixing_parts(parts: DataFrame) -> DataFrame:
     return parts.filter(T.strip(F.col("content")) != P.NO_FIX)
-
-
-def joined_answers(answers: DataFrame) -> DataFrame:
-    """(run_key, solution): a run's answers in file order, split by the separator line.
-
-    ``answers(run_key, ord, solution)`` holds one row per blamed file.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "solution")))
-    return answers.groupBy("run_key").agg(
-        F.array_join(ordered.getField("solution"), f"\n{P.PART_SEPARATOR}\n").alias("solution")
-    ).filter(T.strip(F.col("solution")) != "")

@@ -18,10 +18,10 @@ def branch_name(at: Column, labels: Labels = LABELS) -> Column:
 
 
 def patches(parts: DataFrame, labels: Labels = LABELS) -> DataFrame:
-    """One row per changed file of ``parts(run_key, idx, content, file, platform, project, at)``."""
+    """One row per changed file of ``parts(run_key, ord, idx, content, file, platform, project, at)``."""
     path = T.repo_file_path(F.col("file"), F.col("project"))
     return parts.select(
-        "run_key", "idx", F.lower("platform").alias("platform"), path.alias("path"), "content",
+        "run_key", "ord", "idx", F.lower("platform").alias("platform"), path.alias("path"), "content",
         branch_name(F.col("at"), labels).alias("branch"),
         F.concat(F.lit("Edited "), T.basename(path), F.lit(f" [Auto PR by {labels.tool} "), _stamp(F.col("at")), F.lit("]")).alias("message"),
     )
@@ -29,7 +29,7 @@ def patches(parts: DataFrame, labels: Labels = LABELS) -> DataFrame:
 
 def requests(parts: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """One merge or pull request per run, listing its files in answer order."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", T.strip(F.col("file")).alias("file"))))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "idx", T.strip(F.col("file")).alias("file"))))
     kind = F.when(F.col("platform") == "gitlab", "merge").otherwise("pull")
     return (
         parts.groupBy("run_key", F.lower("platform").alias("platform"), "at")

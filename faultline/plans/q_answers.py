@@ -58,7 +58,7 @@ def _settled(i: Inputs) -> DataFrame:
 
 def _fixing(i: Inputs) -> DataFrame:
     """Fixing parts with the platform, project and time of their conversation."""
-    parts = A.fixing_parts(A.solution_parts(A.joined_answers(_settled(i))))
+    parts = A.fixing_parts(A.solution_parts(_settled(i)))
     number = F.regexp_extract("run_key", "([0-9]+)", 1).cast("bigint")
     return parts.select(
         "*", F.when(number % 2 == 0, "GitLab").otherwise("Github").alias("platform"), F.lit("models").alias("project"),
@@ -90,9 +90,11 @@ def final_solutions(i: Inputs) -> DataFrame:
     return _settled(i).select("run_key", "file", "solution")
 
 
-@query("solution_parts", ctes=PATHS, sql="select run_key, idx, content, file from fixing")
+@query("solution_parts", ctes=PATHS, sql="select run_key, content, file, count(*) as n from fixing group by all")
 def solution_parts(i: Inputs) -> DataFrame:
-    return A.fixing_parts(A.solution_parts(A.joined_answers(_settled(i))))
+    """The check joins the answers of a run first and splits them afterwards."""
+    parts = A.fixing_parts(A.solution_parts(_settled(i)))
+    return parts.groupBy("run_key", "content", "file").agg(F.count("*").alias("n"))
 
 
 @query("repair_prompts", ctes=PATHS, sql=f"select run_key, file, 'system' as role, {_REPAIR} as prompt from settled where not valid1")
@@ -136,12 +138,12 @@ def responder(i: Inputs) -> DataFrame:
 @query(
     "patch_outbox",
     ctes=PATHS + "," + _FIXING,
-    sql=f"""select run_key, idx, platform, path, content, '{LABELS.branch_prefix}' || stamp as branch,
+    sql=f"""select run_key, platform, path, content, '{LABELS.branch_prefix}' || stamp as branch,
         'Edited ' || {D.basename('path')} || ' [Auto PR by {LABELS.tool} ' || stamp || ']' as message from (
           select *, case when starts_with({D.strip('file')}, 'models') then {D.strip('file')} else 'models/' || {D.strip('file')} end as path from sent) s""",
 )
 def patch_outbox(i: Inputs) -> DataFrame:
-    return outbox.patches(_fixing(i))
+    return outbox.patches(_fixing(i)).drop("ord", "idx")
 
 
 @query(

@@ -19,10 +19,14 @@ LOOKAHEAD = 6  # the longest reference pattern has seven words, so six lines can
 _HEAD = r"(?U)\A(?:[\w.$'\"`-]+\s*){0,7}(?:\([^)\n]*\)?)?"
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line of every text file; the file name without suffix is the run key."""
-    files = spark.read.text(path, wholetext=True).select(
-        T.stem(F.col("_metadata.file_path")).alias("run_key"), F.col("value")
+def read_logs(spark: SparkSession, path: str, key_pattern: str = r"([^/]+?)(?:\.[^./]*)?\z") -> DataFrame:
+    """One row per line of every text file; group 1 of ``key_pattern`` on its path is the key.
+
+    Files are read whole to number their lines, so each must fit into one value (2 GB);
+    larger logs come as parquet with ``line_no`` set by the producer.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", key_pattern, 1).alias("run_key"), F.col("value")
     )
     return files.select(
         "run_key", F.posexplode(T.split_lines(F.col("value"))).alias("line_no", "line")

@@ -10,25 +10,41 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.logs import is_separator, separator_id
 
-LINE_SCHEMA = "run_key string, line_no long, line string"
+LINES = "run_key string, line_no long, line string, day date"
+ARRIVALS = "run_key string, day date"
 
 
-def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of log lines from parquet files that uploads drop into ``landing``."""
-    return (
-        spark.readStream.schema(LINE_SCHEMA)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(landing)
-    )
+def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
+    """One upload's run key, so that no upload overwrites another."""
+    return F.concat_ws("|", repo, commit_hash, dbt_path)
 
 
-def land_upload(lines: DataFrame, landing: str) -> None:
-    """Add one upload; its run key names repo, commit and project, so none overwrites another."""
-    lines.select("run_key", "line_no", "line").write.mode("append").parquet(landing)
+def land_upload(lines: DataFrame, day: Column, landing: str, arrivals: str) -> None:
+    """Store the lines of uploads by day, then announce their run keys.
 
+    An announcement is written only after its lines are complete, however many files hold
+    them, so a reader of the announcements never sees half a log.
+    """
+    dated = lines.select("run_key", "line_no", "line", day.alias("day"))
+    dated.write.mode("append").partitionBy("day").parquet(landing)
+    dated.select("run_key", "day").distinct().write.mode("append").parquet(arrivals)
 
-def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
-    return F.concat_ws("|", repo, commit_hash, dbt_path)
+
+def accepted_uploads(spark: SparkSession, arrivals: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of announced uploads."""
+    return spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
+
+
+def uploaded_lines(batch: DataFrame, landing: str) -> DataFrame:
+    """All lines of the uploads announced in a batch; only their days are scanned."""
+    keys = batch.select("run_key", "day").distinct()
+    stored = batch.sparkSession.read.schema(LINES).parquet(landing)
+    return stored.join(keys, ["run_key", "day"]).select("run_key", "line_no", "line")
+
+
+def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of single log lines, for work that looks at one line at a time."""
+    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
 
 def distinct_run_ids(lines: DataFrame) -> DataFrame:
@@ -40,13 +56,12 @@ def distinct_run_ids(lines: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Append everything that is available to a parquet sink, exactly once."""
-    query = (
+def append_available(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Append everything available to a parquet sink, exactly once."""
+    return (
         stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).outputMode("append").start()
+        .outputMode("append").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
 
 
 def each_batch(
@@ -54,8 +69,8 @@ def each_batch(
 ) -> StreamingQuery:
     """Run a batch operator on every micro-batch and write its rows.
 
-    A batch writes to its own ``batch_id`` folder and replaces it, so a batch that is run
-    again after a failure leaves no second copy.
+    A batch replaces its own ``batch_id`` folder, so one that is run again after a failure
+    leaves no second copy.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
