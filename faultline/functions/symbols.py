@@ -14,40 +14,54 @@ def _found(c: Column, pattern: str, group: int = 1, flags: str = "iU") -> Column
 
 
 def clean_symbol(c: Column) -> Column:
-    bare = F.btrim(T.strip(c), F.lit(P.PUNCTUATION))
-    return F.lower(F.element_at(F.split(bare, r"\.", -1), -1))
+    return F.lower(clean_name(c))
 
 
 def clean_name(c: Column) -> Column:
     """Resource name without wrapping punctuation or qualifiers; case is kept."""
-    bare = F.btrim(T.strip(c), F.lit(P.PUNCTUATION))
-    return F.element_at(F.split(bare, r"\.", -1), -1)
+    return F.substring_index(F.btrim(T.strip(c), F.lit(P.PUNCTUATION)), ".", -1)
 
 
 def symbols(values: Column) -> Column:
     """Distinct cleaned symbols of an array, stop words left out."""
-    cleaned = F.array_distinct(F.transform(values, clean_symbol))
-    dropped = F.array(*[F.lit(w) for w in ("", *P.STOP_WORDS)])
-    return F.array_except(cleaned, dropped)
+    return _distinct(F.transform(values, clean_symbol))
+
+
+def _identifiers(values: Column) -> Column:
+    """The same for plain identifiers, which hold nothing to strip off."""
+    return _distinct(F.transform(values, F.lower))
+
+
+def _dotted(values: Column) -> Column:
+    """The same for dotted identifiers; only dots can stand at their end."""
+    return _distinct(F.transform(values, lambda v: F.lower(F.substring_index(F.rtrim(v, F.lit(".")), ".", -1))))
+
+
+def _distinct(values: Column) -> Column:
+    return F.array_except(values, F.array(*[F.lit(w) for w in ("", *P.STOP_WORDS)]))
 
 
 def refs(c: Column) -> Column:
-    both = F.concat(_found(c, P.REF_CALL, 1), _found(c, P.REF_CALL, 2))
-    return symbols(F.filter(both, lambda v: v != ""))
+    calls = _found(c, P.REF_CALL, 0)
+
+    def argument(group: int) -> Column:
+        return F.transform(calls, lambda m: F.regexp_extract(m, "(?iU)" + P.REF_CALL, group))
+
+    return symbols(F.filter(F.concat(argument(1), argument(2)), lambda v: v != ""))
 
 
 def macro_calls(c: Column) -> Column:
     return F.array_except(
-        symbols(_found(c, P.MACRO_CALL)), F.array(*[F.lit(m) for m in P.BUILTIN_MACROS])
+        _dotted(_found(c, P.MACRO_CALL)), F.array(*[F.lit(m) for m in P.BUILTIN_MACROS])
     )
 
 
 def aliases(c: Column) -> Column:
-    return symbols(_found(c, P.ALIAS))
+    return _identifiers(_found(c, P.ALIAS))
 
 
 def ctes(c: Column) -> Column:
-    return symbols(_found(c, P.CTE))
+    return _identifiers(_found(c, P.CTE))
 
 
 def error_signals(c: Column) -> Column:
@@ -56,11 +70,11 @@ def error_signals(c: Column) -> Column:
         _found(c, P.IDENTIFIER, 0, "U"), lambda t: F.contains(t, F.lit("_")) | F.contains(t, F.lit("$"))
     )
     return union(
-        symbols(_found(c, P.KEYWORD_SIGNAL)),
-        symbols(_found(c, P.QUOTED_IDENTIFIER, 1, "U")),
+        _dotted(_found(c, P.KEYWORD_SIGNAL)),
+        _dotted(_found(c, P.QUOTED_IDENTIFIER, 1, "U")),
         refs(c),
         macro_calls(c),
-        symbols(marked),
+        _identifiers(marked),
     )
 
 

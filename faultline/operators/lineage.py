@@ -57,6 +57,17 @@ def downstream_edges(nodes: DataFrame, child_map: DataFrame) -> DataFrame:
     )
 
 
+def near_edges(roots: DataFrame, raw: DataFrame, to_edges) -> DataFrame:
+    """Edges a walk from ``roots`` can use: out of the roots and out of their neighbours.
+
+    ``raw(run_key, id, ...)`` is cut to those sources before ``to_edges`` touches it.
+    """
+    keys = roots.select("run_key", F.col("root_id").alias("id")).distinct()
+    first = stage(to_edges(raw.join(keys, ["run_key", "id"], "left_semi")), "near-edges")
+    reached = first.select("run_key", F.col("dst").alias("id")).distinct().join(keys, ["run_key", "id"], "left_anti")
+    return first.unionByName(to_edges(raw.join(reached, ["run_key", "id"], "left_semi")))
+
+
 def tested_models(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     """(run_key, id, n, model_id): lineage models a test depends on, numbered from 1.
 
@@ -146,9 +157,10 @@ def signal_parts(signals: DataFrame, per_part: int = SIGNALS_PER_PART) -> DataFr
 
 def relevance_scores(pairs: DataFrame, node_profiles: DataFrame, parts: DataFrame) -> DataFrame:
     """Add ``score`` to ``pairs(run_key, root_id, dst, pos)`` from the root's signal parts."""
+    # signals travel to the nodes, not texts to the roots: they are far smaller
     scored = (
-        pairs.join(node_profiles.select("run_key", F.col("id").alias("dst"), "symbols", "lowered"), ["run_key", "dst"])
-        .join(parts, ["run_key", "root_id"], "left")
+        pairs.join(parts, ["run_key", "root_id"], "left")
+        .join(node_profiles.select("run_key", F.col("id").alias("dst"), "symbols", "lowered"), ["run_key", "dst"])
         .select(*pairs.columns, S.relevance(F.col("symbols"), F.col("lowered"), F.col("signals")).alias("part_score"))
     )
     return scored.groupBy(*pairs.columns).agg(F.sum("part_score").cast("int").alias("score"))
@@ -168,7 +180,7 @@ def edge_scores(edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
 
 def walk(
     roots: DataFrame,
-    signals: DataFrame,
+    parts: DataFrame,
     edges: DataFrame,
     node_profiles: DataFrame,
     max_models: int,
@@ -176,7 +188,8 @@ def walk(
 ) -> DataFrame:
     """(run_key, root_id, ord, depth, node_id, parent_id, score) of each root's walk.
 
-    Children of a root rank by the root's signals, deeper ones by their parent's symbols;
+    ``parts(run_key, root_id, signals)`` as made by :func:`signal_parts`.  Children of a
+    root rank by the root's signals, deeper ones by their parent's symbols;
     with ``gated`` a deeper child without any overlap is passed over and may still be
     found under another parent.  ``ord`` is the order of discovery, capped per root.
     """
@@ -186,7 +199,7 @@ def walk(
     ).filter(F.col("dst") != F.col("root_id"))
     by_root = Window.partitionBy("run_key", "root_id").orderBy(F.desc("score"), "pos")
     first = stage(
-        relevance_scores(first_pairs, node_profiles, signal_parts(signals))
+        relevance_scores(first_pairs, node_profiles, parts)
         .withColumn("rank", F.row_number().over(by_root))
         .filter(F.col("rank") <= max_models)
         .select("run_key", "root_id", F.col("dst").alias("node_id"), "rank", "score"),
@@ -231,9 +244,9 @@ def walk(
     )
 
 
-def upstream(roots: DataFrame, signals: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
-    return walk(roots, signals, edges, node_profiles, LIMITS.max_upstream, gated=True)
+def upstream(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
+    return walk(roots, parts, edges, node_profiles, LIMITS.max_upstream, gated=True)
 
 
-def impact(roots: DataFrame, signals: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
-    return walk(roots, signals, edges, node_profiles, LIMITS.max_impact, gated=False)
+def impact(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
+    return walk(roots, parts, edges, node_profiles, LIMITS.max_impact, gated=False)

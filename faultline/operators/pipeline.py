@@ -55,8 +55,7 @@ def failure_contexts(
     slices = stage(latest_slice(of_runs(lines), ledger), "slices")
     failing = errors.failing_tests(slices)
     tests = stage(lineage.find_tests(failing, nodes), "failing-tests")
-    tested = lineage.tested_models(nodes, deps)
-    profiles = stage(lineage.profiles(nodes, files), "profiles")
+    tested = lineage.tested_models(nodes, deps.join(tests.select("run_key", F.col("test_id").alias("id")), ["run_key", "id"], "left_semi"))
 
     primary = C.usable_files(C.primary_files(runs, tests, tested, nodes), files)
     found = lineage.find_nodes(primary.select("run_key", F.col("primary").alias("file")).distinct(), nodes)
@@ -69,29 +68,40 @@ def failure_contexts(
     roots = stage(C.gated_roots(cases, errors.lineage_gate(slices, failing)), "roots")
     diagnosed = roots.filter(~T.has_part(F.col("primary"), "macros"))
 
+    up_edges = stage(lineage.near_edges(roots, deps, lambda d: lineage.upstream_edges(nodes, d)), "up-edges")
+    down_edges = stage(lineage.near_edges(roots, p.child_map, lambda d: lineage.downstream_edges(nodes, d)), "down-edges")
+    edges = up_edges.unionByName(down_edges)
+    near = (
+        roots.select("run_key", F.col("root_id").alias("id"))
+        .unionByName(edges.select("run_key", F.col("dst").alias("id")))
+        .unionByName(tested.select("run_key", F.col("model_id").alias("id")))
+        .distinct()
+    )
+    profiles = stage(lineage.profiles(nodes.join(near, ["run_key", "id"], "left_semi"), files), "profiles")
+
     run_signals = lineage.log_signals(slices).unionByName(C.test_signals(tests, nodes, tested)).distinct()
-    signals = stage(lineage.root_signals(roots, run_signals, profiles), "signals")
+    parts = stage(lineage.signal_parts(lineage.root_signals(roots, run_signals, profiles)), "signals")
 
     cards = (
         diagnosed.select("run_key", "root_id").distinct()
         .join(tests, "run_key").join(C.test_cards(tests, nodes, tested), ["run_key", "test_id"])
         .select("run_key", "root_id", F.lit(0).cast("long").alias("seq"), F.lit("test_failure").alias("key"), "text")
     )
-    up = lineage.upstream(diagnosed, signals, lineage.upstream_edges(nodes, deps), profiles)
+    up = lineage.upstream(diagnosed, parts, up_edges, profiles)
     sections = (
-        cards.unionByName(C.test_model_sections(C.related_tests(diagnosed, tests, tested, profiles), signals, shrink))
-        .unionByName(C.walk_sections(up, signals, profiles, "UPSTREAM_MODEL", shrink))
+        cards.unionByName(C.test_model_sections(C.related_tests(diagnosed, tests, tested, profiles), parts, shrink))
+        .unionByName(C.walk_sections(up, parts, profiles, "UPSTREAM_MODEL", shrink))
         .unionByName(
             C.macro_sections(
-                C.macro_picks(diagnosed, profiles, of_runs(p.macros), of_runs(p.macro_deps)), profiles, files, shrink
+                C.macro_picks(diagnosed, profiles, p.macros, p.macro_deps), profiles, files, shrink
             )
         )
         .unionByName(
-            C.definition_sections(diagnosed, slices, signals, nodes, deps, of_runs(p.sources), files, shrink)
+            C.definition_sections(diagnosed, slices, parts, nodes, deps, p.sources, files, shrink)
         )
     )
-    down = lineage.impact(roots, signals, lineage.downstream_edges(nodes, of_runs(p.child_map)), profiles)
-    impacts = C.walk_sections(down, signals, profiles, "DOWNSTREAM_MODEL", shrink)
+    down = lineage.impact(roots, parts, down_edges, profiles)
+    impacts = C.walk_sections(down, parts, profiles, "DOWNSTREAM_MODEL", shrink)
     if diffs is None:
         diffs = cases.select("run_key", "primary").distinct().withColumn("diff", F.lit("NO_DIFF"))
     return C.file_contexts(

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import stage
+from ..session import spread, stage
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -187,6 +187,7 @@ VIEWS: dict[str, str] = {
 
 # the projects' base table is derived once and written, then shared by the queries
 _STAGED = ("v_model",)
+_TEXT_TABLES = ("documents", "pages")  # a few large texts per row: worth every core
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -200,7 +201,8 @@ def _staged_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the tables of ``sf_dir``."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in _TEXT_TABLES else table
     if name in _STAGED:
         return _staged_view(spark, sf_dir, name)
     return _select(spark, sf_dir, name, _STAGED)

@@ -156,7 +156,7 @@ def related_test_models(i: Inputs) -> DataFrame:
     found = stage(profiles(i), "profiles")
     tests = lineage.find_tests(errors.failing_tests(sliced(i)), i.v_nodes)
     related = C.related_tests(_all_roots(found), tests, lineage.tested_models(i.v_nodes, i.v_deps), found)
-    none = found.select("run_key", F.col("id").alias("root_id"), F.lit("").alias("signal"))
+    none = found.select("run_key", F.col("id").alias("root_id"), F.array(F.lit("")).alias("signals"))
     return C.test_model_sections(related, none).select("run_key", "root_id", "key", "text")
 
 
@@ -178,7 +178,7 @@ def macro_contexts(i: Inputs) -> DataFrame:
 )
 def definition_contexts(i: Inputs) -> DataFrame:
     found = stage(profiles(i), "profiles")
-    none = found.select("run_key", F.col("id").alias("root_id"), F.lit("").alias("signal"))
+    none = found.select("run_key", F.col("id").alias("root_id"), F.array(F.lit("")).alias("signals"))
     return C.definition_sections(
         _all_roots(found), sliced(i), none, i.v_nodes, i.v_deps, i.v_sources, i.v_files
     ).select("run_key", "root_id", "key", "text")
@@ -199,7 +199,7 @@ def definition_contexts_shrunk(i: Inputs) -> DataFrame:
     found = stage(profiles(i), "profiles")
     signals = found.select(
         "run_key", F.col("id").alias("root_id"),
-        F.explode(S.union(S.refs(F.col("text")), F.array(F.lit("key_1")))).alias("signal"),
+        S.union(S.refs(F.col("text")), F.array(F.lit("key_1"))).alias("signals"),
     )
     return C.definition_sections(
         _all_roots(found), sliced(i), signals, i.v_nodes, i.v_deps, i.v_sources, i.v_files, shrink=True

@@ -38,7 +38,7 @@ def profiles(i: Inputs) -> DataFrame:
 def own_signals(node_profiles: DataFrame) -> DataFrame:
     """Signals for a walk from every node: what its source calls and refers to, and its name."""
     found = S.union(S.refs(F.col("text")), S.macro_calls(F.col("text")), F.array(F.lower("name")))
-    return node_profiles.select("run_key", F.col("id").alias("root_id"), F.explode(found).alias("signal"))
+    return node_profiles.select("run_key", F.col("id").alias("root_id"), found.alias("signals"))
 
 
 def walk_sql(edges: str, cap: int, gate: str, roots: str) -> str:

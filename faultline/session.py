@@ -25,6 +25,12 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base}/faultline/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan at least one partition per core; leave a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several branches read, and go on from the written table.
 
