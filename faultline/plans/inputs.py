@@ -185,8 +185,8 @@ VIEWS: dict[str, str] = {
 }
 
 
-# the projects' base table is derived once and written, then shared by the queries
-_STAGED = ("v_model",)
+# the projects' tables are derived once and written, as a loader would, then shared by the queries
+_STAGED = ("v_model", "v_nodes", "v_deps", "v_files", "v_child_map")
 _TEXT_TABLES = ("documents", "pages")  # a few large texts per row: worth every core
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -194,7 +194,8 @@ _staged: dict[tuple[str, str, str], DataFrame] = {}
 def _staged_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = stage(_select(spark, sf_dir, name, ()), name)
+        earlier = tuple(s for s in _STAGED if s != name)
+        _staged[key] = stage(_select(spark, sf_dir, name, earlier), name)
     return _staged[key]
 
 
