@@ -7,13 +7,20 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from faultline.plans import load
+from faultline.plans.registry import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHECKS = entry_point.oracle_sql()
+load()
 
 
 def test_every_query_has_a_check():
-    assert set(CHECKS) == set(entry_point.queries())
+    assert set(CHECKS) == set(QUERIES)
+
+
+def test_entry_registers_them_all():
+    assert set(entry_point.queries()) >= set(QUERIES)
+    assert set(entry_point.oracle_sql()) >= set(CHECKS)
 
 
 @pytest.fixture(scope="module")
@@ -28,9 +35,9 @@ def _shown(value):
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_check(spark, duck, name):
-    df = entry_point.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
     got = sorted(tuple(map(_shown, r)) for r in df.select(*names).collect())
     result = duck.execute(CHECKS[name])
