@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from .decontaminate import decontaminate
 from .near_dedup import NearDup, near_groups
+from .quality_classifier import score, train
+from .quality_rules import quality_rules
 from .registry import query, table
+from .token_counts import token_counts
 
 
 @query("op1_near_dedup")
 def op1_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"), NearDup(shingle_words=2))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
