@@ -153,10 +153,9 @@ def fit(sequences: list[np.ndarray], labels: list[int], p: LineRules):
         x[k, : len(s)] = s
     on = np.arange(most)[None] < long[:, None]
     y = np.array(labels)
-    share = np.array([n / (2 * max(1, (y == c).sum())) for c in (0, 1)])[y]  # both labels weigh alike
     truth = np.zeros((n, most, 2))
     truth[np.arange(n), :, y] = 1
-    lines = (share * long).sum()
+    lines = long.sum()
     for turn in range(p.steps):
         emit = weight[x].sum(2)
         ahead, total = np.zeros((n, most, 2)), np.zeros((n, most, 2))
@@ -169,14 +168,14 @@ def fit(sequences: list[np.ndarray], labels: list[int], p: LineRules):
             total[:, t] = np.where(on[:, t + 1, None], np.logaddexp(both[:, :, 0], both[:, :, 1]), 0)
         log_z = np.logaddexp(*np.moveaxis(ahead[np.arange(n), long - 1], 1, 0))
         chance = np.exp(ahead + total - log_z[:, None, None])
-        miss = (truth - chance) * on[..., None] * share[:, None, None]
+        miss = (truth - chance) * on[..., None]
         grad = np.zeros_like(weight)
         for c in (0, 1):
             grad[:, c] = np.bincount(x.ravel(), np.repeat(miss[..., c].ravel(), GROUPS), FEATURES)
         grad_step = np.zeros((2, 2))
         if most > 1:
             pair = ahead[:, :-1, :, None] + step + (emit[:, 1:] + total[:, 1:])[:, :, None] - log_z[:, None, None, None]
-            held = on[:, 1:, None, None] * share[:, None, None, None]
+            held = on[:, 1:, None, None]
             wanted = truth[:, :-1, :, None] * truth[:, 1:, None]
             grad_step = ((wanted - np.exp(np.minimum(pair, 0))) * held).sum((0, 1))
         rate = p.rate / (1 + turn / p.steps)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .chat_format import digests, format_chats
 from .decontaminate import decontaminate
+from .mixing import mix
 from .near_dedup import NearDup, near_groups
 from .quality_classifier import score, train
 from .quality_rules import quality_rules
 from .registry import query, table
+from .sharding import shard_documents
 from .token_counts import token_counts
 
 
@@ -36,3 +41,22 @@ def op7_quality_classifier(spark, sf_dir):
 @query("op8_decontaminate")
 def op8_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_shard")
+def op2_shard(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_format")
+def op9_chat_format(spark, sf_dir):
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return digests(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)))
+
+
+@query("op10_mix")
+def op10_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
