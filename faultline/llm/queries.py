@@ -12,6 +12,7 @@ from .quality_classifier import score, train
 from .quality_rules import quality_rules
 from .registry import query, table
 from .sharding import shard_documents
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 
 
@@ -60,3 +61,8 @@ def op9_chat_format(spark, sf_dir):
 @query("op10_mix")
 def op10_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_remove_repeats")
+def op4_remove_repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
