@@ -225,10 +225,8 @@ def judge(docs: DataFrame, model, p: LineRules = LineRules()) -> DataFrame:
             for low, high in W.slices(bounds, PORTION):
                 base, features, words_in, first = measure(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], p.window)
                 label = decode(weight[features].sum(1), first, step, start)
-                inside = _running(words_in * label)
-                share = (inside[first[1:]] - inside[first[:-1]]) / np.maximum(base[0], 1)
-                failed = (base[0] < p.min_words) | (100 * base[4] > p.repeat_percent * base[0])
-                columns = [*map(pa.array, base), pa.array(failed), pa.array(~failed & (share >= p.content_share)), pa.array(share)]
+                share, failed, kept = _verdict(base, words_in, label, first, p)
+                columns = [*map(pa.array, base), pa.array(failed), pa.array(kept), pa.array(share)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], names)
 
     schema = f"doc_id long, {COLUMNS}, content_share double"
@@ -236,6 +234,31 @@ def judge(docs: DataFrame, model, p: LineRules = LineRules()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, p: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; decided row by row, without a join."""
+    weight, step, start = train(docs, labels, p)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = W.text_bytes(batch.column(place))
+            kept = np.zeros(batch.num_rows, bool)
+            for low, high in W.slices(bounds, PORTION):
+                base, features, words_in, first = measure(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], p.window)
+                kept[low:high] = _verdict(base, words_in, decode(weight[features].sum(1), first, step, start), first, p)[2]
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _verdict(base, words_in, label, first, p: LineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content share, base_failed and kept of each text."""
+    inside = _running(words_in * label)
+    share = (inside[first[1:]] - inside[first[:-1]]) / np.maximum(base[0], 1)
+    failed = (base[0] < p.min_words) | (100 * base[4] > p.repeat_percent * base[0])
+    return share, failed, ~failed & (share >= p.content_share)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, p: LineRules = LineRules()) -> DataFrame:
     """Train on the labelled part of ``docs`` and judge every row."""
     return judge(docs, train(docs, labels, p), p)

@@ -14,6 +14,7 @@ from .registry import query, table
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .warc import archive_round_trip
 
 
 @query("op1_near_dedup")
@@ -66,3 +67,9 @@ def op10_mix(spark, sf_dir):
 @query("op4_remove_repeats")
 def op4_remove_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op3_warc")
+def op3_warc(spark, sf_dir):
+    back = archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
