@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
                         minima[:, k] = np.minimum.reduceat(work, at[full])
                     digest[full, 0] = np.add.reduceat(W.mix(sets + np.uint64(1)), at[full])
                     digest[full, 1] = np.add.reduceat(W.mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at[full])
-                low_bits = (W.mix(minima) & np.uint64((1 << p.bits) - 1)).astype(np.uint8).reshape(len(full), -1, per_byte)
+                low_bits = (W.mix(minima) & np.uint64((1 << p.bits) - 1)).astype(np.uint8).reshape(len(full), len(a) // per_byte, per_byte)
                 packed = np.zeros((high - low, len(a) // per_byte), np.uint8)
                 packed[full] = (low_bits << (np.arange(per_byte, dtype=np.uint8) * np.uint8(p.bits))).sum(2, dtype=np.uint8)
                 keys = np.zeros((len(full), p.bands), np.uint64)

@@ -144,7 +144,7 @@ def fit(sequences: list[np.ndarray], labels: list[int], p: LineRules):
     """Weights (features x 2), steps (2 x 2) and starts (2) that maximise the labels' likelihood."""
     weight, step, start = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
     if not sequences:
-        start[1] = 1.0
+        start[1], step[:, 1] = 1.0, 1.0  # every line is content
         return weight, step, start
     n, most = len(sequences), max(len(s) for s in sequences)
     long = np.array([len(s) for s in sequences])

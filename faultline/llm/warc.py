@@ -146,6 +146,9 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
     spread = pages.repartition(bundles, "row_key").join(found.select("row_key", "best", F.lit(True).alias("grouped")), "row_key", "left")
     rows = spread.sortWithinPartitions("page_id", "sha", "url").select("page_id", "url", "html", "sha", "best", "grouped")
 
+    fs, base = _open(folder)
+    fs.create_dir(base, recursive=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -156,9 +159,7 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
         bundle, last, copy = None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
-                if bundle is None:
-                    fs.create_dir(base, recursive=True)
-                    bundle = Bundle(fs.open_output_stream(own), a)
+                bundle = bundle or Bundle(fs.open_output_stream(own), a)
                 page, sha = row["page_id"], row["sha"]
                 copy = copy + 1 if last == (page, sha) else 0
                 last = (page, sha)
