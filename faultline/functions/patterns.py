@@ -21,7 +21,7 @@ BUILTIN_MACROS = ("config", "ref", "source", "var", "env_var", "doc")
 
 # --- fixed values: trimming ------------------------------------------------------------
 PUNCTUATION = "`'\".,;:()[]{}"
-# every character the reference's strip() removes
+# every character that trimming removes
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -82,4 +82,6 @@ SOURCE_OF = r"(?m)^SOURCE OF\s+([^:\n]+):"
 SOLUTION_BLOCK = r"<solution>(.*?)</solution>\s*<file>(.*?)</file>"
 PART_SEPARATOR = "----"
 NO_FIX = "NO_FIX"
+# what stands around the number of characters cut from a prompt
+CUT_MARK = ("[... truncated ", " chars to keep the local Ollama prompt within the configured input limit ...]")
 NO_FILE = "NO_FILE"

@@ -63,8 +63,7 @@ def head_tail(c: Column, limit: int) -> Column:
         return c
     dropped = F.length(c) - limit
     marker = F.concat(
-        F.lit("\n\n[... truncated "), dropped.cast("string"),
-        F.lit(" chars to keep the local Ollama prompt within the configured input limit ...]\n\n"),
+        F.lit("\n\n" + P.CUT_MARK[0]), dropped.cast("string"), F.lit(P.CUT_MARK[1] + "\n\n"),
     )
     budget = F.lit(limit) - F.length(marker)
     head = F.floor(budget / 2).cast("int")

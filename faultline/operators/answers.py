@@ -6,48 +6,72 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..settings import LIMITS, SHRINKING_PROVIDER
 
 # fixed value: system text of the format-repair request
 REPAIR_INSTRUCTION = "You repair output format only. Return tags only."
 _BLOCK = "(?sU)" + P.SOLUTION_BLOCK
-MAX_LOG_CHARS = 256 * 1024 * 1024
+BLOCK_LINES = 1 << 12
+VALUE_CHARS = 500_000_000  # what one text value can surely hold (2 GB, up to four bytes a character)
 
 
 # --- prompts ---------------------------------------------------------------------------
 
-def log_texts(slice_lines: DataFrame, max_chars: int = MAX_LOG_CHARS) -> DataFrame:
-    """(run_key, log): the run's log as one text, for logs that fit into one value.
+def log_blocks(slice_lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """(run_key, block, text): the run's log in blocks of line numbers, to be joined by line ends in block order.
 
-    Sizes are summed first, so a log beyond ``max_chars`` is never gathered; such runs are
-    served whole, line by line, by :func:`oversize_log_lines`.
+    No block holds more than ``block_lines`` lines, so a log of any size is spread over tasks.
     """
-    fits = _log_sizes(slice_lines).filter(F.col("chars") <= max_chars)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return slice_lines.join(fits, "run_key", "left_semi").groupBy("run_key").agg(
-        F.array_join(ordered.getField("line"), "\n").alias("log")
+    return slice_lines.groupBy("run_key", F.expr(f"line_no div {block_lines}").alias("block")).agg(
+        F.array_join(ordered.getField("line"), "\n").alias("text")
     )
 
 
-def oversize_log_lines(slice_lines: DataFrame, max_chars: int = MAX_LOG_CHARS) -> DataFrame:
-    """(run_key, line_no, line) of the logs too large for one text value."""
-    large = _log_sizes(slice_lines).filter(F.col("chars") > max_chars)
-    return slice_lines.join(large, "run_key", "left_semi")
+def log_texts(blocks: DataFrame, max_chars: int = VALUE_CHARS) -> DataFrame:
+    """(run_key, log): each run's ``log_blocks`` as one text.
 
+    A log that one value cannot hold stops the query with the run's key; nothing is left out.  Such
+    runs are prompted in parts (:func:`prompt_parts`).
+    """
+    sizes = blocks.groupBy("run_key").agg(F.sum(F.length("text") + 1).alias("chars"))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("block", "text"))).getField("text"), "\n")
+    refused = F.raise_error(F.concat(F.lit("log is too long for one text, use prompt_parts: "), F.col("run_key")))
+    checked = sizes.select("run_key", F.when(F.col("chars") <= max_chars, F.col("chars")).otherwise(refused.cast("long")).alias("chars"))
+    # an inner join on the checked size: the check runs before a log is gathered
+    return blocks.join(checked.filter("chars >= 0"), "run_key").groupBy("run_key").agg(text.alias("log"))
 
-def _log_sizes(slice_lines: DataFrame) -> DataFrame:
-    return slice_lines.groupBy("run_key").agg(F.sum(F.length("line") + 1).alias("chars"))
 
+def prompt_parts(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(run_key, file, part, text): what surrounds the log in each prompt, and the log's blocks once per run.
 
-def solution_prompt(log: Column, context: Column) -> Column:
-    return F.concat(
-        F.lit("<DBT_ERROR>\n"), T.blank_if_null(log), F.lit("\n</DBT_ERROR>\n\n<SOURCE_CONTEXT>\n"), context,
-        F.lit("\n</SOURCE_CONTEXT>"),
+    A prompt is its row of part 0, the run's blocks (file null, parts from 1) joined by line ends, and its
+    last row (part null).  Blocks are stored once per run, however many files it blames.
+    """
+    head, tail = solution_frame(F.col("context"))
+    order = Window.partitionBy("run_key").orderBy("block")
+    body = blocks.select(
+        "run_key", F.lit(None).cast("string").alias("file"), F.row_number().over(order).alias("part"), "text"
     )
+    first = contexts.select("run_key", "file", F.lit(0).alias("part"), head.alias("text"))
+    last = contexts.select("run_key", "file", F.lit(None).cast("int").alias("part"), tail.alias("text"))
+    return first.unionByName(body).unionByName(last)
+
+
+def solution_frame(context: Column) -> tuple[Column, Column]:
+    """What stands before and after the log in a prompt."""
+    # fixed values: tags of the prompt
+    return F.lit("<DBT_ERROR>\n"), F.concat(F.lit("\n</DBT_ERROR>\n\n<SOURCE_CONTEXT>\n"), context, F.lit("\n</SOURCE_CONTEXT>"))
+
+
+def solution_prompt(log: Column, context: Column) -> Column:
+    head, tail = solution_frame(context)
+    return F.concat(head, T.blank_if_null(log), tail)
 
 
 def repair_prompt(context: Column, bad: Column) -> Column:
@@ -79,6 +103,11 @@ def prompts(contexts: DataFrame, logs: DataFrame, instruction: str, max_user_cha
     )
 
 
+def prompt_limit(provider: str) -> int:
+    """Characters of user text that a provider takes; 0 means any number."""
+    return LIMITS.prompt_chars if provider.strip().lower() == SHRINKING_PROVIDER else 0
+
+
 def repair_prompts(responses: DataFrame, max_user_chars: int = 0) -> DataFrame:
     """Requests to mend the format of rejected ``responses(run_key, file, context, response)``."""
     clean = normalize(T.blank_if_null(F.col("response")))
@@ -130,15 +159,18 @@ def respond(df: DataFrame, responder: Responder, out: str, only: str | None = No
     return df.mapInPandas(run, f"{fields}, `{out}` string")
 
 
-def answer(asked: DataFrame, responder: Responder, **retry) -> DataFrame:
+def answer(asked: DataFrame, responder: Responder, max_user_chars: int = 0, **retry) -> DataFrame:
     """(run_key, file, context, response, repaired, solution): ask, check, mend once, settle.
 
+    ``max_user_chars`` limits the repair request as ``prompts`` limits the first one.
     Both calls sit in one line of stages, so no branch of the plan asks twice.
     """
     first = respond(asked, responder, "response", **retry)
     checked = first.withColumn("rejected", ~is_valid(F.col("response"), F.col("context"))).withColumn(
         "messages",
-        messages(F.lit(REPAIR_INSTRUCTION), repair_prompt(F.col("context"), normalize(T.blank_if_null(F.col("response"))))),
+        messages(
+            F.lit(REPAIR_INSTRUCTION), repair_prompt(F.col("context"), normalize(T.blank_if_null(F.col("response")))), max_user_chars
+        ),
     )
     second = respond(checked, responder, "repaired", only="rejected", **retry)
     return second.select(

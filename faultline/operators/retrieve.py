@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks as C
@@ -24,10 +26,23 @@ def lexical_top_k(rows: DataFrame, key: str = "key", k: int = LIMITS.top_chunks)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Exact squared L2 distance, summed in element order."""
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
+def lexical_top_rows(texts: DataFrame, key: str = "key", k: int = LIMITS.top_chunks) -> DataFrame:
+    """(key, seq, title, body, score, rank): the best k chunks of ``texts(key, text, signals)``.
+
+    Ranked inside the row: neither texts nor chunks are shuffled.
+    """
+    top = C.lexical_ranked(C.sql_chunks(F.col("text"), F.col("signals")), F.col("signals"), k)
+    rows = texts.select(key, F.posexplode(top).alias("place", "c"))
+    return rows.select(key, "c.seq", "c.title", "c.body", (-F.col("c.order")).alias("score"), (F.col("place") + 1).alias("rank"))
+
+
+@F.pandas_udf("double")
+def squared_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Exact squared L2 distance of whole Arrow batches, in doubles."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    gap = np.stack(a).astype(np.float64) - np.stack(b).astype(np.float64)
+    return pd.Series((gap * gap).sum(1))
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = LIMITS.top_chunks) -> DataFrame:

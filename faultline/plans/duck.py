@@ -95,3 +95,14 @@ def source_path(x: str) -> str:
 
 def joined(values: str, sep: str = ",") -> str:
     return f"array_to_string(list_sort({values}), '{sep}')"
+
+
+def head_tail(x: str, limit: int) -> str:
+    """A text's head and tail around the cut mark, if it is longer than ``limit``."""
+    m = f"(chr(10) || chr(10) || '{P.CUT_MARK[0]}' || cast(length({x}) - {limit} as varchar) || '{P.CUT_MARK[1]}' || chr(10) || chr(10))"
+    room = f"({limit} - length({m}))"
+    half = f"cast(floor({room} / 2.0) as int)"
+    return (
+        f"case when length({x}) <= {limit} then {x} else substr({x}, 1, {half}) || {m} || "
+        f"substr({x}, length({x}) - ({room} - {half}) + 1) end"
+    )

@@ -111,10 +111,42 @@ def repair_prompts(i: Inputs) -> DataFrame:
 )
 def solution_prompts(i: Inputs) -> DataFrame:
     contexts = i.v_files.select("run_key", F.col("path").alias("file"), F.col("text").alias("context"))
-    made = A.prompts(contexts, A.log_texts(sliced(i)), "Return the corrected file.")
+    made = A.prompts(contexts, A.log_texts(A.log_blocks(sliced(i), 1000)), "Return the corrected file.")
     return made.select("run_key", "file", F.col("messages")[1]["content"].alias("prompt"))
 
 
+@query(
+    "prompt_parts",
+    ctes=IDS + """,
+blocks as (select run_key, row_number() over (partition by run_key order by block) as part, text from (
+  select run_key, line_no // 1000 as block, string_agg(line, chr(10) order by line_no) as text from sliced group by 1, 2) b)""",
+    sql="""select run_key, path as file, 0 as part, '<DBT_ERROR>' || chr(10) as text from v_files
+        union all select run_key, null, part, text from blocks
+        union all select run_key, path, null, chr(10) || '</DBT_ERROR>' || chr(10) || chr(10) || '<SOURCE_CONTEXT>' || chr(10) || text || chr(10) ||
+        '</SOURCE_CONTEXT>' from v_files""",
+)
+def prompt_parts(i: Inputs) -> DataFrame:
+    contexts = i.v_files.select("run_key", F.col("path").alias("file"), F.col("text").alias("context"))
+    return A.prompt_parts(contexts, A.log_blocks(sliced(i), 1000))
+
+
+@query(
+    "limited_prompts",
+    ctes=PATHS + f""",
+firsts as (select run_key, file, 'first' as kind, '<DBT_ERROR>' || chr(10) || coalesce(response, '') || chr(10) || '</DBT_ERROR>' || chr(10) || chr(10) ||
+    '<SOURCE_CONTEXT>' || chr(10) || context || chr(10) || '</SOURCE_CONTEXT>' as prompt from settled),
+repairs as (select run_key, file, 'repair' as kind, {_REPAIR} as prompt from settled where not valid1)""",
+    sql=f"select run_key, file, kind, {D.head_tail('prompt', 600)} as prompt from (select * from firsts union all select * from repairs) p",
+)
+def limited_prompts(i: Inputs) -> DataFrame:
+    """First and repair prompts under a small limit; every answer stands in for its log."""
+    logs = i.v_answers.select("run_key", "file", "response")
+    asked = i.v_answers.select("run_key", "file", "context").join(logs, ["run_key", "file"])
+    first = asked.select("run_key", "file", F.lit("first").alias("kind"), A.messages(F.lit("s"), A.solution_prompt(F.col("response"), F.col("context")), 600).alias("m"))
+    mend = A.repair_prompts(asked, 600).select("run_key", "file", F.lit("repair").alias("kind"), F.col("messages").alias("m"))
+    return first.unionByName(mend).select("run_key", "file", "kind", F.col("m")[1]["content"].alias("prompt"))
+
+
 def echo(messages: list[dict[str, str]]) -> str:
     """A stand-in responder: it hands back the user text, so most answers need mending."""
     return messages[-1]["content"]
@@ -198,13 +230,14 @@ def ci_triggers(i: Inputs) -> DataFrame:
 
 @query(
     "ci_builds",
-    sql="""select commit_id, forced or names = '' as full_build, case when forced then '' else names end as selectors from (
+    sql="""select o_orderkey as commit_id, coalesce(forced or names = '', true) as full_build,
+        case when coalesce(forced, true) then '' else names end as selectors from orders left join (
         select commit_id, bool_or(regexp_matches(path, '^dwh/(macros/|seeds/|snapshots/|dbt_project[.]yml|packages[.]yml)')) as forced,
           coalesce(string_agg(case when regexp_matches(path, '^dwh/models/.*[.]sql$') then '@' || regexp_extract(path, '([^/]+)[.]sql$', 1) end, ' ' order by pos, path), '') as names
-        from v_changes where starts_with(path, 'dwh/') group by 1) s""",
+        from v_changes where starts_with(path, 'dwh/') group by 1) s on commit_id = o_orderkey""",
 )
 def ci_builds(i: Inputs) -> DataFrame:
-    return changes.builds(i.v_changes)
+    return changes.builds(i.v_changes, i.v_commits)
 
 
 _BASES = "bases as (select * from v_base union all select * from v_base2 where run_key not in (select run_key from v_base))"

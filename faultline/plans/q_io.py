@@ -99,16 +99,51 @@ def manifest_deps(i: Inputs) -> DataFrame:
 
 # --- ledger ----------------------------------------------------------------------------
 
-@query("run_ledger", ctes=IDS, sql="select run_key, run_id, max(line_no) as seq from ids group by 1, 2")
+@query(
+    "run_ledger",
+    ctes=IDS + ", opening as (select run_key, arg_min(run_id, line_no) as run_id, min(line_no) as line_no from ids group by 1)",
+    sql="""select run_key, run_id, 1 as batch, line_no from opening
+        union all select run_key, run_id, 2, max(line_no) from ids where (run_key, run_id) not in (select run_key, run_id from opening) group by 1, 2""",
+)
 def run_ledger(i: Inputs) -> DataFrame:
-    """Append the ids of the first half of the days, then those of everything: each id once."""
+    """Append the first id of every job, then those of the whole log: each id once, in two appends."""
     path = work_dir(i.spark, "ledger")
     empty = i.v_log.sparkSession.createDataFrame([], "run_key string, run_id string")
     opening = logs.run_ids(i.v_log).groupBy("run_key").agg(F.min_by(F.struct("run_id", "line_no"), "line_no").alias("first"))
-    logs.append_ledger(opening.select("run_key", "first.*").join(empty, ["run_key", "run_id"], "left_anti"), path)
+    logs.append_ledger(opening.select("run_key", "first.*").join(empty, ["run_key", "run_id"], "left_anti"), path, 1)
     known = i.spark.read.parquet(path)
-    logs.append_ledger(logs.new_run_ids(i.v_log, known), path)
-    return i.spark.read.parquet(path)
+    logs.append_ledger(logs.new_run_ids(i.v_log, known), path, 2)
+    return i.spark.read.parquet(path).select("run_key", "run_id", "seq.batch", "seq.line_no")
+
+
+_TWICE = f"""
+parts as (select run_key, line, line_no % 2 as upload_id, line_no + case when line_no % 2 = 0 then 1000000000 else 0 end as line_no from v_log),
+part_ids as (select run_key, upload_id, line_no, {D.strip("replace(string_split(line, '|')[2], '=', '')")} as run_id from parts
+  where contains(line, repeat('=', 30)) and contains(line, '|')),
+last_ids as (select run_key, arg_max(run_id, (upload_id, line_no)) as run_id from part_ids group by 1),
+newest as (select p.* from parts p join (select run_key, max(upload_id) as upload_id from parts group by 1) m
+  on m.run_key = p.run_key and m.upload_id = p.upload_id),
+begins as (select n.run_key, min(line_no) as start_line from newest n join last_ids l on l.run_key = n.run_key where contains(line, run_id) group by 1)"""
+
+
+@query(
+    "second_upload",
+    ctes=_TWICE,
+    sql=f"""select n.run_key, line_no, {D.strip('line')} as line from newest n join begins b on b.run_key = n.run_key
+        where line_no >= start_line and {D.strip('line')} <> ''""",
+)
+def second_upload(i: Inputs) -> DataFrame:
+    """Each job's log comes in two uploads of one day; the second one's lines have smaller numbers."""
+    base = work_dir(i.spark, "uploads")
+    landing, arrivals, ledger = f"{base}/landing", f"{base}/arrivals", f"{base}/ledger"
+    known = i.spark.createDataFrame([], "run_key string, run_id string")
+    for upload in (0, 1):
+        lines = i.v_log.filter(F.col("line_no") % 2 == upload).withColumn("line_no", F.col("line_no") + (1_000_000_000 if upload == 0 else 0))
+        ingest.land_upload(lines, F.lit(upload), F.lit("2024-01-01").cast("date"), landing, arrivals)
+        logs.append_ledger(logs.new_run_ids(lines, known), ledger, upload)
+        known = i.spark.read.parquet(ledger)
+    stored = ingest.uploaded_lines(i.spark.read.schema(ingest.ARRIVALS).parquet(arrivals), landing)
+    return logs.latest_slice(stored, known)
 
 
 # --- streams ---------------------------------------------------------------------------
@@ -116,7 +151,7 @@ def run_ledger(i: Inputs) -> DataFrame:
 def _landed(i: Inputs) -> tuple[str, str, str]:
     base = work_dir(i.spark, "stream")
     landing, arrivals = f"{base}/landing", f"{base}/arrivals"
-    ingest.land_upload(i.v_log, F.lit("2024-01-01").cast("date"), landing, arrivals)
+    ingest.land_upload(i.v_log, F.lit(1), F.lit("2024-01-01").cast("date"), landing, arrivals)
     return base, landing, arrivals
 
 
@@ -128,7 +163,7 @@ def stream_run_ids(i: Inputs) -> DataFrame:
         ids = ingest.distinct_run_ids(ingest.landed_lines(i.spark, landing))
         ingest.append_available(ids, f"{base}/ids", f"{base}/ids-checkpoint").awaitTermination()
         if _ == 0:
-            ingest.land_upload(i.v_log, F.lit("2024-01-02").cast("date"), landing, arrivals)
+            ingest.land_upload(i.v_log, F.lit(2), F.lit("2024-01-02").cast("date"), landing, arrivals)
     return i.spark.read.parquet(f"{base}/ids")
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 class Limits:
     """How much context one failure may pull in."""
 
-    max_depth: int = 2
     max_upstream: int = 6
     max_impact: int = 5
     max_macros: int = 4

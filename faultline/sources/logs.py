@@ -56,12 +56,14 @@ def new_run_ids(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     return run_ids(lines).join(ledger.select("run_key", "run_id"), ["run_key", "run_id"], "left_anti")
 
 
-def append_ledger(new_ids: DataFrame, path: str) -> None:
-    new_ids.select("run_key", "run_id", F.col("line_no").alias("seq")).write.mode("append").parquet(path)
+def append_ledger(new_ids: DataFrame, path: str, batch: int) -> None:
+    """Append ids; ``batch`` rises with every append, whatever lines the ids stood on."""
+    seq = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("line_no"))
+    new_ids.select("run_key", "run_id", seq.alias("seq")).write.mode("append").parquet(path)
 
 
 def latest_ids(ledger: DataFrame) -> DataFrame:
-    """The id appended last per key; ``seq`` gives the append order."""
+    """The id appended last per key; ``seq`` gives the append order, as (batch, line_no) or one number."""
     return ledger.groupBy("run_key").agg(F.max_by("run_id", "seq").alias("run_id"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.logs import is_separator, separator_id
 
-LINES = "run_key string, line_no long, line string, day date"
-ARRIVALS = "run_key string, day date"
+LINES = "run_key string, upload_id long, line_no long, line string, day date"
+ARRIVALS = "run_key string, upload_id long, day date"
 
 
 def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
@@ -19,15 +19,15 @@ def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
     return F.concat_ws("|", repo, commit_hash, dbt_path)
 
 
-def land_upload(lines: DataFrame, day: Column, landing: str, arrivals: str) -> None:
-    """Store the lines of uploads by day, then announce their run keys.
+def land_upload(lines: DataFrame, upload_id: Column, day: Column, landing: str, arrivals: str) -> None:
+    """Store the lines of uploads by day, then announce them; a later upload of a key has a larger id.
 
     An announcement is written only after its lines are complete, however many files hold
     them, so a reader of the announcements never sees half a log.
     """
-    dated = lines.select("run_key", "line_no", "line", day.alias("day"))
+    dated = lines.select("run_key", upload_id.cast("long").alias("upload_id"), "line_no", "line", day.alias("day"))
     dated.write.mode("append").partitionBy("day").parquet(landing)
-    dated.select("run_key", "day").distinct().write.mode("append").parquet(arrivals)
+    dated.select("run_key", "upload_id", "day").distinct().write.mode("append").parquet(arrivals)
 
 
 def accepted_uploads(spark: SparkSession, arrivals: str, files_per_batch: int = 1000) -> DataFrame:
@@ -36,10 +36,14 @@ def accepted_uploads(spark: SparkSession, arrivals: str, files_per_batch: int =
 
 
 def uploaded_lines(batch: DataFrame, landing: str) -> DataFrame:
-    """All lines of the uploads announced in a batch; only their days are scanned."""
-    keys = batch.select("run_key", "day").distinct()
-    stored = batch.sparkSession.read.schema(LINES).parquet(landing)
-    return stored.join(keys, ["run_key", "day"]).select("run_key", "line_no", "line")
+    """All lines of the newest upload of each key announced in a batch.
+
+    The batch's days, a handful of values, become a literal filter, so other days are not scanned.
+    """
+    newest = batch.groupBy("run_key").agg(F.max(F.struct("upload_id", "day")).alias("u")).select("run_key", "u.*")
+    days = [r["day"] for r in newest.select("day").distinct().collect()]
+    stored = batch.sparkSession.read.schema(LINES).parquet(landing).filter(F.col("day").isin(days))
+    return stored.join(newest, ["run_key", "upload_id", "day"]).select("run_key", "line_no", "line")
 
 
 def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
@@ -48,7 +52,11 @@ def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000)
 
 
 def distinct_run_ids(lines: DataFrame) -> DataFrame:
-    """Each (run_key, run_id) once over the life of the stream, kept in the state store."""
+    """Each (run_key, run_id) once over the life of the stream, kept in the state store.
+
+    The state grows with the ids, so it belongs on disk (``session.RECOMMENDED``).  A job that keeps a ledger
+    needs no state: ``logs.new_run_ids`` in ``each_batch`` gives the same ids.
+    """
     return (
         lines.filter(is_separator(F.col("line")))
         .select("run_key", separator_id(F.col("line")).alias("run_id"))

@@ -74,7 +74,20 @@ def test_answer_mends_once(spark):
     assert (row["response"], row["solution"]) == ("prose", GOOD)
 
 
-def test_large_logs_are_served_by_line(spark):
+def test_no_log_is_left_out(spark):
     lines = spark.createDataFrame([("big", n, "x" * 10) for n in range(9)] + [("small", 0, "y")], "run_key string, line_no long, line string")
-    assert [r["run_key"] for r in A.log_texts(lines, 50).collect()] == ["small"]
-    assert A.oversize_log_lines(lines, 50).count() == 9
+    blocks = A.log_blocks(lines, 4)
+    assert {r["run_key"]: r["log"] for r in A.log_texts(blocks).collect()} == {"big": "\n".join(["x" * 10] * 9), "small": "y"}
+    with pytest.raises(Exception, match="too long for one text.*big"):
+        A.log_texts(blocks, 50).collect()
+    contexts = spark.createDataFrame([("big", "f", "ctx")], "run_key string, file string, context string")
+    parts = A.prompt_parts(contexts, blocks).filter("run_key = 'big'").collect()
+    head = next(r["text"] for r in parts if r["part"] == 0)
+    tail = next(r["text"] for r in parts if r["part"] is None)
+    body = [r["text"] for r in sorted((r for r in parts if r["part"]), key=lambda r: r["part"])]
+    whole = A.prompts(contexts, A.log_texts(blocks), "s").first()["messages"][1]["content"]
+    assert head + "\n".join(body) + tail == whole
+
+
+def test_limits_of_providers():
+    assert A.prompt_limit(" Ollama ") == 24000 and A.prompt_limit("other") == 0
