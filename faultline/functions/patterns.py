@@ -66,6 +66,7 @@ KEYWORD_SIGNAL = (
     r"\b(?:column|field|identifier|relation|table|model|macro|source|alias)\s+"
     r"[`'\"]?([A-Za-z_][\w$.]*)"
 )
+OPEN_KEYWORD = r"\b(?:column|field|identifier|relation|table|model|macro|source|alias)\z"
 # 1 first argument, 2 second argument
 REF_CALL = (
     r"\b(?:ref|source)\s*\(\s*['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?"

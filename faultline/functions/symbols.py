@@ -64,6 +64,12 @@ def ctes(c: Column) -> Column:
     return _identifiers(_found(c, P.CTE))
 
 
+def leading_signals(c: Column) -> Column:
+    """The keyword-led name that a text begins with, if any."""
+    name = F.regexp_extract(c, r"(?iU)\A" + P.KEYWORD_SIGNAL, 1)
+    return _dotted(F.when(name != "", F.array(name)).otherwise(F.array().cast("array<string>")))
+
+
 def error_signals(c: Column) -> Column:
     """Hints in error text: keyword-led names, quoted names, refs, macros, odd identifiers."""
     marked = F.filter(

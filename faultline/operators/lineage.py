@@ -16,6 +16,7 @@ from ..functions import symbols as S
 from ..functions import text as T
 from ..session import stage
 from ..settings import LIMITS
+from ..sources.logs import with_lookahead
 
 SIGNALS_PER_PART = 512
 
@@ -126,8 +127,16 @@ def find_tests(failing: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- signals ---------------------------------------------------------------------------
 
 def log_signals(slice_lines: DataFrame) -> DataFrame:
-    """(run_key, signal): distinct symbols of the run's log lines."""
-    return slice_lines.select("run_key", F.explode(S.error_signals(F.col("line"))).alias("signal")).distinct()
+    """(run_key, signal): distinct symbols of the run's log, also of names that follow their keyword on the next line.
+
+    Only lines that end in a keyword take the look-ahead; all other symbols lie inside a line.
+    """
+    inside = slice_lines.select("run_key", F.explode(S.error_signals(F.col("line"))).alias("signal"))
+    open_end = T.strip(F.col("line")).rlike("(?iU)" + P.OPEN_KEYWORD)
+    ahead = with_lookahead(slice_lines, open_end)
+    last = F.regexp_extract(T.strip(F.col("line")), "(?iU)" + P.OPEN_KEYWORD, 0)
+    across = ahead.select("run_key", F.explode(S.leading_signals(F.concat(last, F.lit("\n"), F.substring_index("ahead", "\n", 1)))).alias("signal"))
+    return inside.union(across).distinct()
 
 
 def root_signals(roots: DataFrame, run_signals: DataFrame, node_profiles: DataFrame) -> DataFrame:

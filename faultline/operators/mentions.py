@@ -21,6 +21,7 @@ TIER_OF_PATTERN = {1: 1, 2: 1, 3: 2, 4: 3, 5: 3}
 
 # a match may begin in the line itself, never in the look-ahead below it
 _STARTS_HERE = r"(?=(?:[^\n]*\n){%d})" % LOOKAHEAD
+_POINTER_HINT = r"(?i)compiled code at|\bline\b|\[\d+:\d+\]"
 _ANY_HINT = r"(?i)error|failure|\.sql|\.ya?ml|(?:database|compilation|runtime|parsing)\s*\z"
 
 
@@ -77,11 +78,14 @@ def mentions(lines: DataFrame, block_lines: int | None = None) -> DataFrame:
 
 def compiled_mentions(lines: DataFrame) -> DataFrame:
     """(run_key, path, location): first compiled file named per run, first error location."""
-    clean = T.strip_ansi(F.col("line"))
-    path = F.regexp_extract(clean, "(?iU)" + P.COMPILED_SQL, 1)
-    place = F.regexp_extract(clean, "(?U)" + P.ERROR_LOCATION, 0)
+    clean = lines.withColumn("line", T.strip_ansi(F.col("line")))
+    hint = F.col("line").rlike(_POINTER_HINT)
+    # path and number may stand on the next line, as its first word
+    text = F.concat("line", F.lit("\n"), F.substring_index("ahead", "\n", 1))
+    path = F.regexp_extract(text, "(?iU)" + P.COMPILED_SQL, 1)
+    place = F.regexp_extract(text, "(?U)" + P.ERROR_LOCATION, 0)
     return (
-        lines.select("run_key", "line_no", path.alias("path"), place.alias("place"))
+        with_lookahead(clean, hint, head=r"\A\S+").select("run_key", "line_no", path.alias("path"), place.alias("place"))
         .filter((F.col("path") != "") | (F.col("place") != ""))
         .groupBy("run_key")
         .agg(

@@ -17,9 +17,6 @@ from .registry import Inputs, query
 
 # --- files -----------------------------------------------------------------------------
 
-_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
-
-
 def _written_documents(i: Inputs, purpose: str) -> str:
     """Documents as text files, a thousand document numbers of one source per file."""
     path = work_dir(i.spark, purpose)
@@ -31,13 +28,15 @@ def _written_documents(i: Inputs, purpose: str) -> str:
 
 @query(
     "log_scan",
-    sql=f"""select run_key, count(*) as n_lines, sum(length(line)) as n_chars from (
+    sql=r"""select run_key, line, count(*) as n, (select cast(sum(len(string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)))) as bigint)
+          from documents d where d.source || '-' || cast(floor(doc_id / 1000) as bigint) = l.run_key) - 1 as last_line from (
         select source || '-' || cast(floor(doc_id / 1000) as bigint) as run_key,
-          unnest(string_split(regexp_replace(text, {D.lit(_BREAK)}, chr(10), 'g'), chr(10))) as line from documents) l group by 1""",
+          unnest(string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10))) as line from documents) l group by 1, 2""",
 )
 def log_scan(i: Inputs) -> DataFrame:
     lines = logs.read_logs(i.spark, _written_documents(i, "log-files"), r"run_key=([^/]+)/[^/]+\z")
-    return lines.groupBy("run_key").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    ends = lines.groupBy("run_key").agg(F.max("line_no").alias("last_line"))
+    return lines.groupBy("run_key", "line").agg(F.count("*").alias("n")).join(ends, "run_key")
 
 
 @query(
@@ -84,7 +83,30 @@ _FOLDER = "run_key || '_' || cast(cast(floor(pos / 1000) as bigint) as varchar)"
 )
 def manifest_nodes(i: Inputs) -> DataFrame:
     shown = F.array_join(F.transform("kwargs", lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return manifest.nodes(manifest.parse_manifests(_manifests(i))).withColumn("kwargs", shown)
+    return manifest.nodes(manifest.parse_manifests(_manifests(i))).withColumn("kwargs", shown).drop("metadata")
+
+
+def _written_manifests(i: Inputs) -> str:
+    """A manifest file per project with macros and sources; one more file is no JSON."""
+    path = work_dir(i.spark, "manifest-files")
+    entry = lambda: F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("name", F.col("path").alias("original_file_path"))))))
+    macros = i.v_macros.groupBy("run_key").agg(entry().alias("macros"))
+    sources = i.v_sources.groupBy("run_key").agg(entry().alias("sources"))
+    made = macros.join(sources, "run_key", "full").select("run_key", F.to_json(F.struct("macros", "sources")).alias("json"))
+    broken = i.spark.range(1).select(F.lit("broken").alias("run_key"), F.lit('{"macros": {"m": {"name": ').alias("json"))
+    made.union(broken).repartition("run_key").write.partitionBy("run_key").text(path)
+    return path
+
+
+@query(
+    "manifest_entries",
+    sql="""select run_key, 'macros' as part, id, name, path from v_macros union all select run_key, 'sources', id, name, path from v_sources""",
+)
+def manifest_entries(i: Inputs) -> DataFrame:
+    """Macros and sources by way of manifest files."""
+    found = manifest.read_manifests(i.spark, _written_manifests(i), r"run_key=([^/]+)/[^/]+\z", "*.txt")
+    rows = [manifest.named_entries(found, part).withColumn("part", F.lit(part)) for part in ("macros", "sources")]
+    return rows[0].unionByName(rows[1]).select("run_key", "part", "id", "name", "path")
 
 
 @query(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import symbols as S
 from ..functions import text as T
-from ..operators import errors, mentions, resolve
+from ..operators import errors, lineage, mentions, resolve
 from ..sources import logs
 from . import duck as D
 from .registry import Inputs, query
@@ -263,7 +262,46 @@ def compiled_pointers(i: Inputs) -> DataFrame:
 @query(
     "log_signals",
     ctes=IDS,
-    sql=f"select distinct run_key, unnest({D.error_signals('line')}) as signal from sliced",
+    sql=f"""select distinct run_key, unnest({D.error_signals('t')}) as signal from (
+        select run_key, string_agg(line, chr(10) order by line_no) as t from sliced group by 1) s""",
 )
 def log_signals(i: Inputs) -> DataFrame:
-    return sliced(i).select("run_key", F.explode(S.error_signals(F.col("line"))).alias("signal")).distinct()
+    return lineage.log_signals(sliced(i))
+
+
+_CUT_AT = r"^(.*?(?:compiled code at|[Ll]ine|column|relation|model|table))( .*)$"
+
+
+_BROKEN = rf"""
+broken as (select run_key, string_agg(regexp_replace(line, {D.lit(_CUT_AT)}, '\1' || chr(10) || '\2'), chr(10) order by line_no) as t from sliced group by 1)"""
+
+
+@query(
+    "broken_log_signals",
+    ctes=IDS + "," + _BROKEN,
+    sql=f"select distinct run_key, unnest({D.error_signals('t')}) as signal from broken",
+)
+def broken_log_signals(i: Inputs) -> DataFrame:
+    """Signals of the same logs with lines broken behind keywords."""
+    return lineage.log_signals(_broken(sliced(i)))
+
+
+@query(
+    "broken_compiled_pointers",
+    ctes=IDS + "," + _BROKEN,
+    sql=r"""select run_key, nullif(regexp_extract(t, '(?i)compiled code at\s+(target/[^\s]+\.sql)', 1), '') as path,
+        nullif(regexp_replace(regexp_extract(t, '\b(?:line|LINE)\s+\d+|\[\d+:\d+\]', 0), '\s+', ' ', 'g'), '') as location
+        from broken where regexp_matches(t, '(?i)compiled code at\s+(target/[^\s]+\.sql)')""",
+)
+def broken_compiled_pointers(i: Inputs) -> DataFrame:
+    found = mentions.compiled_mentions(_broken(sliced(i)))
+    return found.withColumn("location", F.regexp_replace("location", r"\s+", " "))
+
+
+def _broken(lines: DataFrame) -> DataFrame:
+    """Each line cut in two behind its first keyword."""
+    first = F.regexp_extract("line", _CUT_AT, 1)
+    halves = F.when(first != "", F.array(first, F.regexp_extract("line", _CUT_AT, 2))).otherwise(F.array("line"))
+    return lines.select("run_key", "line_no", F.posexplode(halves).alias("n", "line")).select(
+        "run_key", (F.col("line_no") * 2 + F.col("n")).alias("line_no"), "line"
+    )

@@ -20,17 +20,23 @@ _HEAD = r"(?U)\A(?:[\w.$'\"`-]+\s*){0,7}(?:\([^)\n]*\)?)?"
 
 
 def read_logs(spark: SparkSession, path: str, key_pattern: str = r"([^/]+?)(?:\.[^./]*)?\z") -> DataFrame:
-    """One row per line of every text file; group 1 of ``key_pattern`` on its path is the key.
+    """(run_key, line_no, line) of every text file; group 1 of ``key_pattern`` on its path is the key.
 
-    Files are read whole to number their lines, so each must fit into one value (2 GB);
-    larger logs come as parquet with ``line_no`` set by the producer.
+    Files are split as Spark splits any text file; lines end at line feeds, carriage returns or both.  A split
+    numbers its own lines, and the splits' line counts, one row each, give every split its first number.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", key_pattern, 1).alias("run_key"), F.col("value")
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+    )
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = raw.groupBy("file", "split").count().select(
+        "file", "split", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("place")) - 1
+    return raw.withColumn("inside", inside).join(starts, ["file", "split"]).select(
+        F.regexp_extract("file", key_pattern, 1).alias("run_key"), (F.col("start") + F.col("inside")).alias("line_no"), "line"
     )
-    return files.select(
-        "run_key", F.posexplode(T.split_lines(F.col("value"))).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def is_separator(line: Column) -> Column:
@@ -113,9 +119,11 @@ def segment_runs(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     )
 
 
-def with_lookahead(lines: DataFrame, keep: Column, block_lines: int = BLOCK_LINES) -> DataFrame:
+def with_lookahead(lines: DataFrame, keep: Column, block_lines: int = BLOCK_LINES, head: str = _HEAD) -> DataFrame:
     """Non-blank lines where ``keep`` holds, plus ``ahead``: the heads of the next six lines.
 
+    ``head`` is a pattern of what a match begun above can use up of a line.
+
     Patterns that allow any white space between words may run over line ends.  Only the
     kept lines travel whole; every other line is shuffled as the short head that a match
     begun above could still consume.
@@ -126,7 +134,7 @@ def with_lookahead(lines: DataFrame, keep: Column, block_lines: int = BLOCK_LINE
         "block",
         "line_no",
         F.when(keep, F.col("line")).alias("line"),
-        F.regexp_extract(body, _HEAD, 0).alias("head"),
+        F.regexp_extract(body, head, 0).alias("head"),
     )
     ordered = Window.partitionBy("run_key", "block").orderBy("line_no")
     next_blocks = Window.partitionBy("run_key").orderBy("block").rowsBetween(1, LOOKAHEAD)
