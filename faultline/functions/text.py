@@ -20,10 +20,6 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(P.WHITESPACE))
 
 
-def is_blank(c: Column) -> Column:
-    return strip(c) == ""
-
-
 def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(blank_if_null(c), P.ANSI_ESCAPE, "")
 

@@ -43,8 +43,13 @@ def requests(parts: DataFrame, labels: Labels = LABELS) -> DataFrame:
     )
 
 
-def write_outbox(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("platform").parquet(path)
+def outbox_rows(parts: DataFrame, subscribers: DataFrame, labels: Labels = LABELS) -> dict[str, DataFrame]:
+    """Patches, requests and notifications of one batch of parts; each project's subscribers hear of its requests."""
+    asked = requests(parts, labels)
+    told = asked.join(parts.select("run_key", "project").distinct(), "run_key").select(
+        "run_key", "project", "files", F.concat(F.lit("branch "), "head").alias("url")
+    )
+    return {"patches": patches(parts, labels), "requests": asked, "notifications": notifications(told, subscribers, labels)}
 
 
 # --- subscribers -----------------------------------------------------------------------
@@ -55,7 +60,8 @@ def new_subscribers(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def read_subscribers(spark, path: str) -> DataFrame:
-    return spark.read.schema("tid string").parquet(path)
+    """The subscriber table (project, tid)."""
+    return spark.read.schema("project string, tid string").parquet(path)
 
 
 def message(files: Column, url: Column, labels: Labels = LABELS) -> Column:
@@ -68,8 +74,8 @@ def message(files: Column, url: Column, labels: Labels = LABELS) -> Column:
 def notifications(outgoing: DataFrame, subscribers: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """(run_key, tid, text): each request of a project to each of that project's subscribers.
 
-    The reference serves one project per database, so project is the join key here; the
-    text is built once per request, before the fan-out.
+    Each project has its own subscribers, so project is the join key; the text is built once per
+    request, before the fan-out.
     """
     texts = outgoing.select("run_key", "project", message(F.col("files"), F.col("url"), labels).alias("text"))
     return texts.join(subscribers.select("project", "tid"), "project").select("run_key", "tid", "text")

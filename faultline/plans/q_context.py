@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols as S
 from ..operators import context as C
-from ..operators import errors, lineage, pipeline
+from ..operators import changes, errors, lineage, pipeline
 from ..session import stage
 from . import duck as D
 from .q_lineage import DOWN, FAILING, PROFILES, SCORE, TESTED, UP, profiles, walk_sql
@@ -286,3 +286,19 @@ def contexts(i: Inputs, provider: str = "") -> DataFrame:
 @query("file_contexts", ctes=_WHOLE, sql="select run_key, file, context from contexts")
 def file_contexts(i: Inputs) -> DataFrame:
     return contexts(i).select("run_key", "file", "context")
+
+
+_JOIN_LINE = r"(?s)^.*\n(join [^\n]*)$"
+_DIFFED = _WHOLE.replace(
+    "'FILE DIFF:' || chr(10) || 'NO_DIFF' ||",
+    f"""'FILE DIFF:' || chr(10) || case when regexp_matches(text, {D.lit(_JOIN_LINE)}) then
+      '-left ' || regexp_extract(text, {D.lit(_JOIN_LINE)}, 1) || chr(10) || '+' || regexp_extract(text, {D.lit(_JOIN_LINE)}, 1) else 'NO_DIFF' end ||""",
+)
+
+
+@query("file_contexts_with_diffs", ctes=_DIFFED, sql="select run_key, file, context from contexts")
+def file_contexts_with_diffs(i: Inputs) -> DataFrame:
+    """The base commit of every model file has a left join in its last line."""
+    base = i.v_files.withColumn("text", F.regexp_replace("text", r"\njoin ([^\n]*)\z", "\nleft join $1"))
+    diffs = changes.diff_texts(changes.line_changes(i.v_files, base))
+    return pipeline.failure_contexts(i.v_log, ledger(i), blamed(i), project(i), diffs=diffs).select("run_key", "file", "context")

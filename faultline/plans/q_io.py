@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as A
 from ..operators import mentions, outbox
 from ..session import work_dir
+from ..settings import LABELS
 from ..sources import files, logs, manifest
 from ..streaming import ingest
 from . import duck as D
@@ -208,8 +209,13 @@ def stream_mentions(i: Inputs) -> DataFrame:
 
 @query(
     "stream_outbox",
-    ctes=PATHS + "," + _FIXING,
-    sql=f"select run_key, platform, content, {D.strip('file')} as file, stamp from sent",
+    ctes=PATHS + "," + _FIXING + f""",
+runs_sent as (select run_key, platform, stamp, string_agg({D.strip('file')}, ', ' order by idx) as files from sent group by 1, 2, 3)""",
+    sql=f"""select 'patch' as kind, run_key, platform, case when starts_with({D.strip('file')}, 'models') then {D.strip('file')} else 'models/' || {D.strip('file')} end
+          || ': ' || content as detail from sent
+        union all select 'request', run_key, platform, files from runs_sent
+        union all select 'notification', run_key, null, replace(replace({D.lit(LABELS.message_with_files)}, 'файлах %s', 'файлах ' || files), ': %s',
+          ': branch {LABELS.branch_prefix}' || stamp) || ' to t' || t from runs_sent cross join (select unnest([1, 2]) as t) u""",
 )
 def stream_outbox(i: Inputs) -> DataFrame:
     base = work_dir(i.spark, "outbox")
@@ -220,12 +226,18 @@ def stream_outbox(i: Inputs) -> DataFrame:
         solved = batch.withColumn("solution", A.final_solution(F.col("context"), F.col("response"), F.col("repaired")))
         number = F.regexp_extract("run_key", "([0-9]+)", 1).cast("bigint")
         parts = A.fixing_parts(A.solution_parts(solved)).select(
-            "*", F.when(number % 2 == 0, "GitLab").otherwise("Github").alias("platform"), F.lit("").alias("project"),
+            "*", F.when(number % 2 == 0, "GitLab").otherwise("Github").alias("platform"), F.lit("models").alias("project"),
             F.timestamp_seconds(number * 86461).alias("at"),
         )
-        return outbox.patches(parts)
-
-    ingest.each_batch(stream, settle, f"{base}/patches", f"{base}/patches-checkpoint").awaitTermination()
-    return i.spark.read.parquet(f"{base}/patches").select(
-        "run_key", "platform", "content", F.col("path").alias("file"), F.regexp_extract("branch", "([0-9]+_[0-9]+)", 1).alias("stamp")
+        return outbox.outbox_rows(parts, outbox.read_subscribers(i.spark, f"{base}/subscribers"))
+
+    told = i.spark.range(1, 3).select(F.lit("models").alias("project"), F.concat(F.lit("t"), "id").alias("tid"))
+    told.write.parquet(f"{base}/subscribers")
+    ingest.each_batch(stream, settle, f"{base}/out", f"{base}/checkpoint", ("platform",)).awaitTermination()
+    patches, requests, notes = (i.spark.read.parquet(f"{base}/out/{name}") for name in ("patches", "requests", "notifications"))
+    none = F.lit(None).cast("string").alias("platform")
+    return (
+        patches.select(F.lit("patch").alias("kind"), "run_key", "platform", F.concat_ws(": ", "path", "content").alias("detail"))
+        .unionByName(requests.select(F.lit("request").alias("kind"), "run_key", "platform", F.col("files").alias("detail")))
+        .unionByName(notes.select(F.lit("notification").alias("kind"), "run_key", none, F.concat("text", F.lit(" to "), "tid").alias("detail")))
     )

@@ -73,16 +73,20 @@ def append_available(stream: DataFrame, sink: str, checkpoint: str) -> Streaming
 
 
 def each_batch(
-    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame | dict[str, DataFrame]], sink: str, checkpoint: str,
+    partition_by: tuple[str, ...] = (),
 ) -> StreamingQuery:
-    """Run a batch operator on every micro-batch and write its rows.
+    """Run a batch operator on every micro-batch and write its rows, or several tables by name below the sink.
 
     A batch replaces its own ``batch_id`` folder, so one that is run again after a failure
     leaves no second copy.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        made = transform(batch)
+        for name, rows in (made if isinstance(made, dict) else {"": made}).items():
+            columns = [c for c in partition_by if c in rows.columns]
+            rows.write.mode("overwrite").partitionBy(*columns).parquet(f"{sink}/{name}/batch_id={batch_id}".replace("//batch_id", "/batch_id"))
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
