@@ -139,15 +139,30 @@ def log_signals(slice_lines: DataFrame) -> DataFrame:
     return inside.union(across).distinct()
 
 
-def root_signals(roots: DataFrame, run_signals: DataFrame, node_profiles: DataFrame) -> DataFrame:
-    """(run_key, root_id, signal): the run's signals plus what the root's source refers to."""
+def own_signals(roots: DataFrame, node_profiles: DataFrame) -> DataFrame:
+    """(run_key, root_id, signal): what a root's source refers to."""
     keys = roots.select("run_key", "root_id").distinct()
-    own = keys.join(
+    return keys.join(
         node_profiles.select("run_key", F.col("id").alias("root_id"), "text"), ["run_key", "root_id"]
     ).select("run_key", "root_id", F.explode(S.refs(F.col("text"))).alias("signal"))
+
+
+def root_signals(roots: DataFrame, run_signals: DataFrame, node_profiles: DataFrame) -> DataFrame:
+    """(run_key, root_id, signal): the run's signals plus what the root's source refers to.
+
+    Every root gets a copy of its run's signals: only where blocks are shortened by them.  Scores take the
+    two kinds apart (:func:`relevance_scores`).
+    """
+    keys = roots.select("run_key", "root_id").distinct()
+    own = own_signals(roots, node_profiles)
     return keys.join(run_signals, "run_key").select("run_key", "root_id", "signal").unionByName(own).distinct()
 
 
+def run_parts(run_signals: DataFrame) -> DataFrame:
+    """(run_key, signals): a run's signals as arrays of bounded size."""
+    return signal_parts(run_signals.select("run_key", F.lit("").alias("root_id"), "signal")).drop("root_id")
+
+
 def signal_parts(signals: DataFrame, per_part: int = SIGNALS_PER_PART) -> DataFrame:
     """(run_key, root_id, signals): the signals of a root as arrays of bounded size.
 
@@ -164,15 +179,25 @@ def signal_parts(signals: DataFrame, per_part: int = SIGNALS_PER_PART) -> DataFr
     )
 
 
-def relevance_scores(pairs: DataFrame, node_profiles: DataFrame, parts: DataFrame) -> DataFrame:
-    """Add ``score`` to ``pairs(run_key, root_id, dst, pos)`` from the root's signal parts."""
+def relevance_scores(
+    pairs: DataFrame, node_profiles: DataFrame, parts: DataFrame, of_run: DataFrame | None = None
+) -> DataFrame:
+    """Add ``score`` to ``pairs(run_key, root_id, dst, pos)`` from the root's signal parts.
+
+    With ``of_run`` (:func:`run_parts`), ``parts`` holds only signals that the run does not have; the run's
+    are scored once per node, not once per root.
+    """
     # signals travel to the nodes, not texts to the roots: they are far smaller
-    scored = (
-        pairs.join(parts, ["run_key", "root_id"], "left")
-        .join(node_profiles.select("run_key", F.col("id").alias("dst"), "symbols", "lowered"), ["run_key", "dst"])
-        .select(*pairs.columns, S.relevance(F.col("symbols"), F.col("lowered"), F.col("signals")).alias("part_score"))
-    )
-    return scored.groupBy(*pairs.columns).agg(F.sum("part_score").cast("int").alias("score"))
+    texts = node_profiles.select("run_key", F.col("id").alias("dst"), "symbols", "lowered")
+    points = S.relevance(F.col("symbols"), F.col("lowered"), F.col("signals")).alias("part_score")
+    scored = pairs.join(parts, ["run_key", "root_id"], "left").join(texts, ["run_key", "dst"]).select(*pairs.columns, points)
+    own = scored.groupBy(*pairs.columns).agg(F.sum("part_score").cast("int").alias("score"))
+    if of_run is None:
+        return own
+    nodes = pairs.select("run_key", "dst").distinct().join(texts, ["run_key", "dst"]).join(of_run, "run_key")
+    shared = nodes.select("run_key", "dst", points).groupBy("run_key", "dst").agg(F.sum("part_score").cast("int").alias("run_score"))
+    total = F.col("score") + F.coalesce("run_score", F.lit(0))
+    return own.join(shared, ["run_key", "dst"], "left").select(*pairs.columns, total.alias("score"))
 
 
 def edge_scores(edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
@@ -194,6 +219,7 @@ def walk(
     node_profiles: DataFrame,
     max_models: int,
     gated: bool,
+    of_run: DataFrame | None = None,
 ) -> DataFrame:
     """(run_key, root_id, ord, depth, node_id, parent_id, score) of each root's walk.
 
@@ -208,7 +234,7 @@ def walk(
     ).filter(F.col("dst") != F.col("root_id"))
     by_root = Window.partitionBy("run_key", "root_id").orderBy(F.desc("score"), "pos")
     first = stage(
-        relevance_scores(first_pairs, node_profiles, parts)
+        relevance_scores(first_pairs, node_profiles, parts, of_run)
         .withColumn("rank", F.row_number().over(by_root))
         .filter(F.col("rank") <= max_models)
         .select("run_key", "root_id", F.col("dst").alias("node_id"), "rank", "score"),
@@ -253,9 +279,9 @@ def walk(
     )
 
 
-def upstream(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
-    return walk(roots, parts, edges, node_profiles, LIMITS.max_upstream, gated=True)
+def upstream(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame, of_run: DataFrame | None = None) -> DataFrame:
+    return walk(roots, parts, edges, node_profiles, LIMITS.max_upstream, gated=True, of_run=of_run)
 
 
-def impact(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame) -> DataFrame:
-    return walk(roots, parts, edges, node_profiles, LIMITS.max_impact, gated=False)
+def impact(roots: DataFrame, parts: DataFrame, edges: DataFrame, node_profiles: DataFrame, of_run: DataFrame | None = None) -> DataFrame:
+    return walk(roots, parts, edges, node_profiles, LIMITS.max_impact, gated=False, of_run=of_run)

@@ -13,6 +13,7 @@ from ..settings import SHRINKING_PROVIDER
 from ..sources.logs import latest_slice
 from . import context as C
 from . import errors, lineage
+from .mentions import mentions
 
 
 @dataclass
@@ -53,7 +54,8 @@ def failure_contexts(
 
     nodes, files, deps = of_runs(p.nodes), of_runs(p.files), of_runs(p.deps)
     slices = stage(latest_slice(of_runs(lines), ledger), "slices")
-    failing = errors.failing_tests(slices)
+    found_in_slices = stage(mentions(slices), "mentions")
+    failing = errors.failing_tests(slices, found_in_slices)
     tests = stage(lineage.find_tests(failing, nodes), "failing-tests")
     tested = lineage.tested_models(nodes, deps.join(tests.select("run_key", F.col("test_id").alias("id")), ["run_key", "id"], "left_semi"))
 
@@ -79,15 +81,19 @@ def failure_contexts(
     )
     profiles = stage(lineage.profiles(nodes.join(near, ["run_key", "id"], "left_semi"), files), "profiles")
 
-    run_signals = lineage.log_signals(slices).unionByName(C.test_signals(tests, nodes, tested)).distinct()
-    parts = stage(lineage.signal_parts(lineage.root_signals(roots, run_signals, profiles)), "signals")
+    run_signals = stage(lineage.log_signals(slices).unionByName(C.test_signals(tests, nodes, tested)).distinct(), "run-signals")
+    of_run = lineage.run_parts(run_signals)
+    own = lineage.own_signals(roots, profiles).distinct().join(run_signals, ["run_key", "signal"], "left_anti")
+    own_parts = stage(lineage.signal_parts(own), "own-signals")
+    # only shortened blocks ask for the signals of each root as a whole
+    parts = stage(lineage.signal_parts(lineage.root_signals(roots, run_signals, profiles)), "signals") if shrink else own_parts
 
     cards = (
         diagnosed.select("run_key", "root_id").distinct()
         .join(tests, "run_key").join(C.test_cards(tests, nodes, tested), ["run_key", "test_id"])
         .select("run_key", "root_id", F.lit(0).cast("long").alias("seq"), F.lit("test_failure").alias("key"), "text")
     )
-    up = lineage.upstream(diagnosed, parts, up_edges, profiles)
+    up = lineage.upstream(diagnosed, own_parts, up_edges, profiles, of_run)
     sections = (
         cards.unionByName(C.test_model_sections(C.related_tests(diagnosed, tests, tested, profiles), parts, shrink))
         .unionByName(C.walk_sections(up, parts, profiles, "UPSTREAM_MODEL", shrink))
@@ -97,10 +103,10 @@ def failure_contexts(
             )
         )
         .unionByName(
-            C.definition_sections(diagnosed, slices, parts, nodes, deps, p.sources, files, shrink)
+            C.definition_sections(diagnosed, slices, parts, nodes, deps, p.sources, files, shrink, found_in_slices)
         )
     )
-    down = lineage.impact(roots, parts, down_edges, profiles)
+    down = lineage.impact(roots, own_parts, down_edges, profiles, of_run)
     impacts = C.walk_sections(down, parts, profiles, "DOWNSTREAM_MODEL", shrink)
     if diffs is None:
         diffs = cases.select("run_key", "primary").distinct().withColumn("diff", F.lit("NO_DIFF"))
