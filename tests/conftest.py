@@ -1,15 +1,20 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from faultline.session import RECOMMENDED
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    builder = SparkSession.builder.master("local[8]")
+    for key, value in RECOMMENDED.items():
+        builder = builder.config(key, value)
     session = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        builder.config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

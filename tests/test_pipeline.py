@@ -106,5 +106,25 @@ def test_nested_test_arguments_give_signals(spark, tables):
 
     tests = tables.nodes.filter("resource_type = 'test'").select("run_key", F.col("id").alias("test_id"))
     got = {r["signal"] for r in test_signals(tests, tables.nodes, tested_models(tables.nodes, tables.deps)).collect()}
-    assert {"shop_key", "fits_fact_sales_shop_key", "fact_sales", "dim_shop", "a_1"} <= got
+    assert {"shop_key", "fits_fact_sales_shop_key", "fact_sales", "dim_shop", "a_1", "b_2"} <= got
+    assert not {"k", "values", "to", "n"} & got  # keys are no leaves
     assert errors is not None
+
+
+def test_leaves_at_any_depth(column):
+    from faultline.operators.context import leaf_text
+
+    assert column(leaf_text, '["a_1", 0, {"k": "b_2", "m": [true, "0", 1.5, null, "c\\"d"]}]').split() == ["a_1", "b_2", "True", "0", "1.5", 'c"d']
+    assert column(leaf_text, "ref('x')") == "ref('x')"
+
+
+def test_one_odd_field_leaves_the_rest_of_a_manifest(spark):
+    from faultline.sources import manifest
+
+    raw = spark.createDataFrame(
+        [("a", '{"nodes": {"x": {"name": ["odd"], "alias": "al", "test_metadata": {"name": "t", "namespace": "ns_1", "kwargs": {"k": 1}}}}}'), ("b", "{")],
+        "run_key string, json string",
+    )
+    (row,) = manifest.nodes(manifest.parse_manifests(raw)).collect()
+    assert (row["run_key"], row["id"], row["alias"], row["test_kind"]) == ("a", "x", "al", "t")
+    assert "ns_1" in row["metadata"]
