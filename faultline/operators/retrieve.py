@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import chunks as C
 from ..settings import LIMITS
@@ -36,7 +37,7 @@ def lexical_top_rows(texts: DataFrame, key: str = "key", k: int = LIMITS.top_chu
     return rows.select(key, "c.seq", "c.title", "c.body", (-F.col("c.order")).alias("score"), (F.col("place") + 1).alias("rank"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def squared_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact squared L2 distance of whole Arrow batches, in doubles."""
     if not len(a):
