@@ -6,7 +6,7 @@ Rows are told apart by a key over id, text and source, so rows that share an id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
@@ -20,7 +20,10 @@ from faultline.session import stage, work_dir
 
 #: Line labelling and candidate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-KEY = F.xxhash64("doc_id", "text", "source")
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text", "source")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group; of rows equal in id and text one."""
     groups = near_groups(docs, NearDup())
     gone = stage(groups.filter("not kept").select("doc_id").distinct(), "gone")
-    left = only_ids(docs, gone, "doc_id", "left_anti").withColumn("row_key", KEY)
+    left = only_ids(docs, gone, "doc_id", "left_anti").withColumn("row_key", row_key())
     again = stage(left.filter("doc_id is not null").groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
     if again.isEmpty():
         return left.drop("row_key")
@@ -43,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark window contaminates."""
-    keyed = docs.withColumn("row_key", KEY)
+    keyed = docs.withColumn("row_key", row_key())
     found = decontaminate(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stage(found.filter("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
     return only_ids(keyed, gone, "row_key", "left_anti").select(docs.columns)
@@ -51,7 +54,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole documents."""
-    keyed = docs.withColumn("row_key", KEY)
+    keyed = docs.withColumn("row_key", row_key())
     taken = mix(keyed, id_col="row_key").filter("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
     copies = stage(taken.filter("copies > 0").withColumnRenamed("doc_id", "row_key"), "copies")
     small = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -61,7 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its slot there; rows of equal text share a shard."""
-    keyed = docs.withColumn("row_key", KEY)
+    keyed = docs.withColumn("row_key", row_key())
     places = shard_documents(keyed, id_col="row_key").withColumnRenamed("doc_id", "row_key")
     places = places.withColumn("copy", F.row_number().over(Win.partitionBy("row_key").orderBy("slot")))
     rows = keyed.withColumn("copy", F.row_number().over(Win.partitionBy("row_key").orderBy("row_key")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import checks
 from .chat_format import digests, format_chats
 from .decontaminate import decontaminate
 from .mixing import mix
@@ -17,7 +18,7 @@ from .token_counts import token_counts
 from .warc import archive_round_trip
 
 
-@query("op1_near_dedup")
+@query("op1_near_dedup", checks.NEAR_DEDUP)
 def op1_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"), NearDup(shingle_words=2))
 
@@ -40,7 +41,7 @@ def op7_quality_classifier(spark, sf_dir):
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", checks.DECONTAMINATE)
 def op8_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +51,7 @@ def op2_shard(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op9_chat_format")
+@query("op9_chat_format", checks.CHAT_FORMAT)
 def op9_chat_format(spark, sf_dir):
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -69,7 +70,7 @@ def op4_remove_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op3_warc")
+@query("op3_warc", checks.WARC)
 def op3_warc(spark, sf_dir):
     back = archive_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
