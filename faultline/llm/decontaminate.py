@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from faultline.session import stage
 
 from . import words as W
+from .tables import bounded_batches
 
 SHARD = 4 << 20
 BLOCK_BYTES = 16 << 20
@@ -144,8 +145,11 @@ def longest(which: np.ndarray, where: np.ndarray, text: np.ndarray, block: Windo
 SCHEMA = "doc_id long, row_key long, n_words long, hits array<int>, items array<string>, matches array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
 
-def scan(docs: DataFrame, block: Windows, window: int = 13, matches: bool = False) -> DataFrame:
-    """Per row: word count, hit word ranges (begin, end, ...), items and, if asked for, the longest matches."""
+def scan(docs: DataFrame, block: Windows, window: int = 13, matches: bool = False, final: bool = False) -> DataFrame:
+    """Per row: word count, hit word ranges (begin, end, ...), items and, if asked for, the longest matches.
+
+    With ``final``, where there is one block only, ranges and items become counts and digests at once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(block)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -179,7 +183,7 @@ def scan(docs: DataFrame, block: Windows, window: int = 13, matches: bool = Fals
                 if matches:
                     for i, place, t, at, size in longest(which, where, text, items).tolist():
                         found[t].append({"item_id": items.names[i], "item_word": place, "doc_word": at - int(first[t]), "n_words": size})
-                yield pa.RecordBatch.from_arrays(
+                done = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
                         batch.column(1).slice(low, high - low),
@@ -188,8 +192,9 @@ def scan(docs: DataFrame, block: Windows, window: int = 13, matches: bool = Fals
                     ],
                     schema=arrow,
                 )
+                yield from _finish([done]) if final else [done]
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, _FINAL if final else SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, matches: bool = False) -> DataFrame:
@@ -197,6 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
 
     A row is contaminated if some word is hit and 20 * n_hit >= n_words.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
@@ -204,17 +210,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     parts = []
     for k in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        part = scan(rows, windows_of([tuple(r) for r in mine.collect()], window), window, matches)
+        part = scan(rows, windows_of([tuple(r) for r in mine.collect()], window), window, matches, blocks == 1)
         parts.append(stage(part, "hits") if blocks > 1 else part)
+    if blocks == 1:
+        return parts[0] if matches else parts[0].drop("matches")
     out = parts[0]
-    if blocks > 1:  # a row's hits in several blocks are united; equal rows stay as many as they were
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("doc_id", "row_key").agg(
-            F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
-            (F.count("*") / blocks).cast("int").alias("copies"),
-        ).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # a row's hits in several blocks are united; equal rows stay as many as they were
+    out = out.groupBy("doc_id", "row_key").agg(
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"),
+        (F.count("*") / blocks).cast("int").alias("copies"),
+    ).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     found = out.select("doc_id", "n_words", "hits", "items", "matches").mapInArrow(_finish, _FINAL)
     return found if matches else found.drop("matches")
 

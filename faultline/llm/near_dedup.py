@@ -27,7 +27,7 @@ from faultline.session import stage
 
 from . import words as W
 from .components import components
-from .tables import binaries, by_key, fixed_rows, only_ids
+from .tables import binaries, bounded_batches, by_key, fixed_rows, only_ids
 
 
 @dataclass(frozen=True)
@@ -141,18 +141,23 @@ def agreement(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     return total - np.bitwise_count(differ & lowest).sum(-1, dtype=np.int64)
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """Each binary value as 64-bit numbers, without a copy."""
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return [np.frombuffer(data, np.uint64, (y - x) // 8, x) if y > x else np.zeros(0, np.uint64) for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
 def _agree_column(p: NearDup):
     """Agreement of two packed columns, of whole Arrow batches."""
 
-    @F.pandas_udf("int")
-    def agree(a, b):
-        import pandas as pd
+    width = p.bands * p.rows * p.bits // 64
 
-        if not len(a):
-            return pd.Series([], dtype="int32")
-        left = np.frombuffer(b"".join(a), np.uint64).reshape(len(a), -1)
-        right = np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1)
-        return pd.Series(agreement(left, right, p.bits).astype("int32"))
+    @F.arrow_udf("int")
+    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
+        left, right = (np.concatenate([*_views(x), np.zeros(0, np.uint64)]).reshape(len(x), width) for x in (a, b))
+        return pa.array(agreement(left, right, p.bits).astype(np.int32))
 
     return agree
 
@@ -160,22 +165,20 @@ def _agree_column(p: NearDup):
 def _linked(p: NearDup):
     """Whether two full sets reach the threshold."""
 
-    @F.pandas_udf("boolean")
-    def linked(a, b):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b, strict=True):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for u, v in zip(_views(a), _views(b), strict=True):
             both = len(u) + len(v) - len(np.union1d(u, v))
             out.append(100 * both >= p.percent * (len(u) + len(v) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     return linked
 
 
 def near_groups(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest linked id) and kept."""
+    bounded_batches(docs.sparkSession)
     marks = stage(signatures(docs, p, id_col, text_col), "signatures")
     reps = stage(
         marks.filter("n_shingles > 0 and id is not null")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import only_ids
+from .tables import bounded_batches, only_ids
 
 
 @dataclass(frozen=True)
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Ftrl = Ftrl()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; the weights have a fixed size."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

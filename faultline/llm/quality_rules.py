@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import only_ids
+from .tables import bounded_batches, only_ids
 
-PORTION = 1 << 21
+PORTION = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -188,6 +188,7 @@ def fit(sequences: list[np.ndarray], labels: list[int], p: LineRules):
 
 def train(docs: DataFrame, labels: DataFrame, p: LineRules = LineRules()):
     """Fit the field on at most ``sample_docs`` labelled documents of at most ``sample_lines`` lines."""
+    bounded_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_docs)
     rows = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), drawn, "doc_id", "inner", p.sample_docs)

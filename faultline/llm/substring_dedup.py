@@ -36,7 +36,7 @@ from faultline.session import stage, work_dir
 
 from . import words as W
 from .suffix_array import suffix_array
-from .tables import keyed_groups, only_ids
+from .tables import bounded_batches, keyed_groups, only_ids
 
 
 @dataclass(frozen=True)
@@ -339,7 +339,7 @@ def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every row."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", digest))

@@ -6,10 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 1_000_000  # ids that one broadcast may hold (8 MB of longs)
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Cut the Arrow batches of this session by bytes, so long texts need no more memory than short ones.
+
+    A smaller limit that the session has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(name)).removesuffix("b"))
+    if now <= 0 or now > limit:
+        spark.conf.set(name, str(limit))
 
 
 def binaries(parts: list[np.ndarray]) -> pa.Array:

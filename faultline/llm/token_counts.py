@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import bounded_batches
 
 PORTION = 4 << 20
 LINE = 1 << 13
@@ -138,5 +139,6 @@ def token_counts(
             columns = [batch.column(0), pa.array(np.diff(bounds)), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

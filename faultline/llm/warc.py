@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from faultline.session import stage, work_dir
 
+from .tables import bounded_batches
+
 # fixed values: the seekable format's magic numbers, and header texts of the archive format
 SEEK_FRAME = 0x184D2A5E
 SEEK_END = 0x8F92EAB1
@@ -146,6 +148,7 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
     spread = pages.repartition(bundles, "row_key").join(found.select("row_key", "best", F.lit(True).alias("grouped")), "row_key", "left")
     rows = spread.sortWithinPartitions("page_id", "sha", "url").select("page_id", "url", "html", "sha", "best", "grouped")
 
+    bounded_batches(pages.sparkSession)
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
 

@@ -51,12 +51,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
+    """Row ranges of about ``limit`` bytes; a longer text is a range of its own.
+
+    Arrow's free memory goes back to the system afterwards, as workers live on between stages.
+    """
     low, rows = 0, len(bounds) - 1
     while low < rows:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, "right")) - 1)
         yield low, min(high, rows)
         low = min(high, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -85,7 +89,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + 4 * SLICE_BYTES, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + SLICE_BYTES, "right")))
         first, last = int(starts[low]), int(ends[high - 1])
         n = last - first
         powers = _powers(_BASE, n + 1)
@@ -105,10 +109,10 @@ def _powers(base: int, count: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64; the usual lengths are kept."""
     table = _TABLES.get(base)
     if table is None or len(table) < count:
-        table = np.full(max(count, 4 * SLICE_BYTES + 1), base, np.uint64)
+        table = np.full(max(count, SLICE_BYTES + 1), base, np.uint64)
         table[0] = 1
         table = np.cumprod(table, dtype=np.uint64)
-        if len(table) <= 16 * SLICE_BYTES:
+        if len(table) <= 4 * SLICE_BYTES:
             _TABLES[base] = table
     return table[:count]
 
