@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     A smaller limit that the session has set stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(str(spark.conf.get(name)).removesuffix("b"))
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", str(spark.conf.get(name)).strip().lower()).groups()
+    now = int(number) << 10 * " kmgt".index(unit or " ")
     if now <= 0 or now > limit:
         spark.conf.set(name, str(limit))
 

@@ -172,3 +172,15 @@ def test_word_hashes_follow_the_words():
     words = [w for t in texts for w in brute.WORD.findall(t)]
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == words
     assert len(set(hashes.tolist())) == len(set(words)) and first[-1] == len(words)
+
+
+def test_arrow_batches_are_bounded_whatever_form_the_setting_has(spark):
+    from faultline.llm.tables import bounded_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for value, after in (("64mb", 8 << 20), ("1g", 8 << 20), ("4m", 4 << 20), ("1000", 1000)):
+        spark.conf.set(name, value)
+        bounded_batches(spark)
+        assert int(spark.conf.get(name).removesuffix("b")) == after or spark.conf.get(name) == value
+    spark.conf.set(name, before)
