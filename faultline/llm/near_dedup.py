@@ -12,6 +12,7 @@ spanning edges, never pairs.
 
 Defined results: a text without words (or null) has no shingles and is linked with nothing; a
 null id has a null component and is kept; rows that repeat an id share what any of them links.
+Nodes are numbers of distinct sets, not ids, so texts that share an id are each judged by their own set.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from faultline.session import stage
 
 from . import words as W
 from .components import components
-from .tables import binaries, bounded_batches, by_key, fixed_rows, only_ids
+from .tables import BROADCAST_IDS, binaries, bounded_batches, by_key, fixed_rows, only_ids
 
 
 @dataclass(frozen=True)
@@ -46,15 +47,21 @@ class NearDup:
     seed: int = 17
 
 
-def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_key (128-bit digest of the set), band_keys, packed low bits."""
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row_key, text; rows equal in id and text have one key."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("row_key"), "text")
+
+
+def signatures(rows: DataFrame, p: NearDup) -> DataFrame:
+    """id, row_key, n_shingles, set_key (128-bit digest of the set), band_keys, packed low bits of (id, row_key, text)."""
     a = W.constants(p.bands * p.rows, p.seed)
     salt = W.constants(p.bands, p.seed + 1)
     per_byte = 8 // p.bits
 
     def run(batches):
         for batch in batches:
-            data, bounds = W.text_bytes(batch.column(1))
+            data, bounds = W.text_bytes(batch.column(2))
             for low, high in W.slices(bounds):
                 first, sets, at = _sets(data, bounds, low, high, p)
                 count = np.diff(at)
@@ -80,16 +87,16 @@ def signatures(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
+                        batch.column(1).slice(low, high - low),
                         pa.array(count),
                         fixed_rows(digest),
                         pa.ListArray.from_arrays(pa.array(offsets), flat),
                         fixed_rows(packed),
                     ],
-                    ["id", "n_shingles", "set_key", "band_keys", "packed"],
+                    ["id", "row_key", "n_shingles", "set_key", "band_keys", "packed"],
                 )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id long, n_shingles long, set_key binary, band_keys array<long>, packed binary")
+    return rows.mapInArrow(run, "id long, row_key long, n_shingles long, set_key binary, band_keys array<long>, packed binary")
 
 
 def _sets(data, bounds, low, high, p):
@@ -103,8 +110,8 @@ def _sets(data, bounds, low, high, p):
     return first, np.concatenate(parts) if parts else grams, out
 
 
-def full_sets(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the whole set as sorted 64-bit hashes in one binary value."""
+def full_sets(rows: DataFrame, p: NearDup) -> DataFrame:
+    """rep and the whole set as sorted 64-bit hashes in one binary value, of (rep, text)."""
 
     def run(batches):
         for batch in batches:
@@ -112,10 +119,9 @@ def full_sets(docs: DataFrame, p: NearDup, id_col: str = "doc_id", text_col: str
             for low, high in W.slices(bounds):
                 _, sets, at = _sets(data, bounds, low, high, p)
                 parts = [sets[x:y] for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binaries(parts)], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binaries(parts)], ["rep", "shingles"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id long, shingles binary")
+    return rows.mapInArrow(run, "rep long, shingles binary")
 
 
 def least_agreement(p: NearDup) -> int:
@@ -178,22 +184,34 @@ def _linked(p: NearDup):
 
 def near_groups(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest linked id) and kept."""
-    bounded_batches(docs.sparkSession)
-    marks = stage(signatures(docs, p, id_col, text_col), "signatures")
-    reps = stage(
-        marks.filter("n_shingles > 0 and id is not null")
-        .groupBy("set_key")
-        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys"), F.first("packed").alias("packed")),
-        "sets",
+    marks, reps, edges = _linked_sets(_narrow(docs, id_col, text_col), p, F.col("id").isNotNull(), {"low": F.min("id")})
+    groups = _lowest(reps, edges.union(_id_links(marks, reps)), ["low"])
+    out = marks.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")))
+    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked_sets(rows: DataFrame, p: NearDup, part, least: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks of all (id, row_key, text) rows, the distinct sets of those in ``part``, and links (a, b) of sets.
+
+    A set has a number (rep), which is its node, the key of one of its rows, and the aggregates ``least``.
+    """
+    bounded_batches(rows.sparkSession)
+    marks = stage(signatures(rows, p), "signatures")
+    reps = marks.filter("n_shingles > 0").filter(part).groupBy("set_key").agg(
+        F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("band_keys").alias("band_keys"),
+        F.first("packed").alias("packed"), *(how.alias(name) for name, how in least.items()),
     )
+    reps = stage(reps.withColumn("rep", F.monotonically_increasing_id()), "sets")
     keyed = reps.select("rep", F.explode("band_keys").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
     members = stage(keyed.join(shared, "key"), "members")
-    signs = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "packed").dropDuplicates(["rep"])
-    signs = stage(signs, "signs")
-    needed = signs.select(F.col("rep").alias("id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stage(full_sets(only_ids(rows, needed, "id"), p, "id", "text").dropDuplicates(["id", "shingles"]), "shingles")
+    signs = reps.join(members.select("rep").distinct(), "rep", "left_semi")
+    signs = stage(signs.select("rep", "row_key", "n", "packed"), "signs")
+    needed, signs = signs.select("row_key", "rep"), signs.drop("row_key")
+    texts = only_ids(rows.select("row_key", "text"), needed, "row_key", "inner", BROADCAST_IDS // 2).select("rep", "text")
+    sets = stage(full_sets(texts, p).dropDuplicates(["rep", "shingles"]), "shingles")
 
     edges = None
     labels = signs.select("rep", F.col("rep").alias("component"))
@@ -205,14 +223,29 @@ def near_groups(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id",
     loose = _blocks(_grouped(members, labels), signs.select("rep", F.col("packed").alias("load"), F.lit(0).alias("weight")), p, _close_by_bits(p))
     around = components(edges.union(stage(loose, "loose")))
     clusters = labels.join(around.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep")
-    weighed = sets.select(F.col("id").alias("rep"), F.col("shingles").alias("load"), F.expr("length(shingles) div 8").alias("weight"))
+    weighed = sets.select("rep", F.col("shingles").alias("load"), F.expr("length(shingles) div 8").alias("weight"))
     rest = _blocks(clusters.select("key", "rep", "component"), weighed, p, _close_by_sets(p))
-    final = components(edges.union(rest)).select(F.col("node").alias("rep"), F.col("component").alias("low"))
-    groups = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("low", "rep").alias("low"))
-    out = marks.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")))
-    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return marks, reps, edges.union(rest)
+
+
+def _id_links(marks: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges from the first to each set of every id that has several."""
+    taking = marks.filter("n_shingles > 0 and id is not null").select("id", "set_key")
+    key = F.xxhash64("set_key")
+    several = stage(taking.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("id"), "several")
+    own = taking.join(several, "id").distinct().join(reps.select("set_key", "rep"), "set_key").select("id", "rep")
+    own = stage(own, "own")
+    first = own.groupBy("id").agg(F.min("rep").alias("a"))
+    return own.join(first, "id").select("a", F.col("rep").alias("b"))
+
+
+def _lowest(reps: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
+    """set_key and the smallest of each named column of ``reps`` over the sets that ``edges`` connect."""
+    final = components(edges).select(F.col("node").alias("rep"), "component")
+    final = stage(final.join(reps.select("rep", *names), "rep"), "final")
+    lows = final.groupBy("component").agg(*(F.min(c).alias(f"least_{c}") for c in names))
+    lows = final.select("rep", "component").join(lows, "component").drop("component")
+    return reps.join(lows, "rep", "left").select("set_key", *(F.coalesce(f"least_{c}", c).alias(c) for c in names))
 
 
 def _labels(signs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -237,9 +270,8 @@ def _star_links(members, labels, signs, sets, p, turn) -> DataFrame:
     pairs = pairs.filter(f"100 * least(n, m) >= {p.percent} * greatest(n, m)")
     pairs = pairs.select("rep", "pivot", _agree_column(p)("packed", "packed_b").alias("agree")).filter(F.col("agree") >= least_agreement(p))
     best = pairs.groupBy("rep").agg(F.max_by("pivot", F.struct("agree", -F.col("pivot"))).alias("pivot"))
-    own = sets.select(F.col("id").alias("rep"), "shingles")
-    far = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("shingles_b"))
-    both = best.join(own, "rep").join(far, "pivot")
+    far = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("shingles_b"))
+    both = best.join(sets, "rep").join(far, "pivot")
     return both.filter(_linked(p)("shingles", "shingles_b")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
 
 

@@ -60,6 +60,18 @@ def test_null_and_repeated_ids(spark):
     )
 
 
+def test_texts_that_share_an_id_are_judged_by_their_own_sets(spark):
+    """Id 1 has forty texts; each has a near copy under an id of its own, and all are linked by id 1."""
+    rng, rows = random.Random(5), []
+    for d in range(40):
+        words = [f"v{d}x{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(1, " ".join(words)), (10 + d, " ".join([*words, "tail"]))]
+    rows += [(90, "some words of their own stand here"), (91, "and quite other ones in this place")]
+    found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), NearDup(shingle_words=2)).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(d, 1 if d < 90 else d, d in (1, 90, 91)) for d, _ in rows}
+
+
 def test_agreement_counts_equal_groups_of_bits():
     rng = np.random.default_rng(1)
     groups = rng.integers(0, 4, (2, 50, 32), dtype=np.uint64)
