@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.decontaminate import decontaminate
 from faultline.llm.mixing import mix
-from faultline.llm.near_dedup import NearDup, near_groups
+from faultline.llm.near_dedup import surplus_rows
 from faultline.llm.quality_rules import keep_good
 from faultline.llm.sharding import shard_documents
 from faultline.llm.tables import BROADCAST_IDS, only_ids
@@ -32,13 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; of rows equal in id and text one."""
-    groups = near_groups(docs, NearDup())
-    gone = stage(groups.filter("not kept").select("doc_id").distinct(), "gone")
-    left = only_ids(docs, gone, "doc_id", "left_anti").withColumn("row_key", row_key())
+    """One row of each group, judged by its own text also if its id repeats; of rows equal in id, text and source one."""
+    keyed = docs.withColumn("row_key", row_key())
+    gone = stage(surplus_rows(keyed, "row_key"), "gone")
+    left = only_ids(keyed, gone, "row_key", "left_anti")
     again = stage(left.filter("doc_id is not null").groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
     if again.isEmpty():
-        return left.drop("row_key")
+        return left.select(docs.columns)
     first = F.row_number().over(Win.partitionBy("row_key").orderBy("n_chars"))
     one = only_ids(left, again, "row_key").withColumn("spot", first).filter("spot = 1")
     return only_ids(left, again, "row_key", "left_anti").select(docs.columns).union(one.select(docs.columns))

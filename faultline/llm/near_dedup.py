@@ -192,6 +192,18 @@ def near_groups(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def surplus_rows(docs: DataFrame, row_col: str, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keys in ``row_col`` of the rows with an id that a group can spare: all but its smallest (id, key).
+
+    Every row is judged by its own text, also if others share its id; rows without an id take no part.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row_key"), F.col(text_col).alias("text"))
+    one = F.struct("id", "row_key")
+    marks, reps, edges = _linked_sets(rows, p, F.col("id").isNotNull(), {"first": F.min(one)})
+    taking = marks.filter("n_shingles > 0 and id is not null").join(_lowest(reps, edges, ["first"]), "set_key")
+    return taking.filter(one != F.col("first")).select(F.col("row_key").alias(row_col)).distinct()
+
+
 def _linked_sets(rows: DataFrame, p: NearDup, part, least: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Marks of all (id, row_key, text) rows, the distinct sets of those in ``part``, and links (a, b) of sets.
 

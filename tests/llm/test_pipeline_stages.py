@@ -51,3 +51,15 @@ def test_odd_rows_pass_every_stage(spark, odd_texts, sf):
     assert Counter(r.doc_id for r in left)[8] == 2 and None in {r.doc_id for r in left}
     for name, stage in pipe.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_a_repeated_id_loses_its_copies_only(spark, sf):
+    """Id 5 holds a near copy of row 1 and a text of its own; id 7 copies that text."""
+    first, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, first), (5, first + " end"), (5, other), (7, other), (7, "words that no other row has at all")]
+    docs = spark.createDataFrame([(d, t, None, "s", None) for d, t in rows], SCHEMA)
+    left = pipe.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([rows[0], rows[2], rows[4]])
