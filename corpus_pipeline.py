@@ -11,7 +11,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from faultline.llm.decontaminate import decontaminate
-from faultline.llm.mixing import mix
+from faultline.llm.mixing import placed, whole_copies
 from faultline.llm.near_dedup import surplus_rows
 from faultline.llm.quality_rules import keep_good
 from faultline.llm.sharding import shard_documents
@@ -53,9 +53,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded to whole documents."""
+    """Each document as often as the mix takes its words, in whole documents; remainders are carried within a source."""
     keyed = docs.withColumn("row_key", row_key())
-    taken = mix(keyed, id_col="row_key").filter("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
+    taken = whole_copies(placed(keyed, id_col="row_key"))
     copies = stage(taken.filter("copies > 0").withColumnRenamed("doc_id", "row_key"), "copies")
     small = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = keyed.join(F.broadcast(copies) if small else copies, "row_key")

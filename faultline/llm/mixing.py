@@ -86,6 +86,11 @@ def apportion(cells: DataFrame, group: list[str], name: list[str], weight: str,
 
 def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
+    return placed(docs, p, id_col, text_col, source_col).drop(*SOURCE)
+
+
+def placed(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``mix`` with their source."""
     order = F.xxhash64(F.col(id_col), F.lit(p.seed))
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).isNull().alias("no_source"),
@@ -114,7 +119,7 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str =
     before = Win.partitionBy(*CELL).orderBy("piece").rowsBetween(Win.unboundedPreceding, -1)
     spots = sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).join(cells.drop("ideal", "quota"), CELL)
     lined = Win.partitionBy(*CELL, "piece").orderBy("order", "doc_id", "size").rowsBetween(Win.unboundedPreceding, Win.currentRow)
-    placed = sized.withColumn("reach", F.sum("size").over(lined)).join(stage(spots, "spots"), [*CELL, "piece"])
+    lines = sized.withColumn("reach", F.sum("size").over(lined)).join(stage(spots, "spots"), [*CELL, "piece"])
     high = F.col("offset") + F.col("reach")
     low = high - F.col("size")
     extra = F.col("cell_quota") % F.col("blocks")
@@ -122,4 +127,19 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str =
     taken = F.floor(F.col("cell_quota") / F.col("blocks")) * F.col("size")
     taken = taken + inside(F.col("begin") * F.col("block"), (F.col("begin") + extra) * F.col("block"))
     taken = taken + inside(F.lit(0), (F.col("begin") + extra - F.col("blocks")) * F.col("block"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return lines.select(*SOURCE, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """doc_id and copies: words taken as whole documents, with the remainder carried to the source's next document.
+
+    Only documents that an end of their shard's run cuts have a remainder, a few for each shard.  They follow each
+    other by size, so a source is off by at most half of its largest such document.
+    """
+    rows = taken.filter("size > 0").groupBy(*SOURCE, "doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    rows = stage(rows.selectExpr(*SOURCE, "doc_id", "size", "taken div size as copies", "taken % size as rest"), "taken")
+    line = Win.partitionBy(*SOURCE).orderBy(F.desc("size"), "doc_id")
+    reach = F.sum(F.col("rest") / F.col("size")).over(line.rowsBetween(Win.unboundedPreceding, Win.currentRow))
+    cut = rows.filter("rest > 0").withColumn("mark", F.floor(reach + 0.5))
+    cut = cut.select("doc_id", (F.col("copies") + F.col("mark") - F.lag("mark", 1, 0).over(line)).cast("int").alias("copies"))
+    return rows.filter("rest = 0").select("doc_id", F.col("copies").cast("int").alias("copies")).union(cut)

@@ -63,3 +63,11 @@ def test_a_repeated_id_loses_its_copies_only(spark, sf):
     docs = spark.createDataFrame([(d, t, None, "s", None) for d, t in rows], SCHEMA)
     left = pipe.near_duplicates(spark, docs, sf).collect()
     assert sorted((r.doc_id, r.text) for r in left) == sorted([rows[0], rows[2], rows[4]])
+
+
+def test_sources_of_long_documents_meet_their_targets(spark, sf):
+    """About one document to a shard: source c is to give three quarters of its words."""
+    rows = [(d, " ".join([f"w{d}"] * 2000), None, "a" if d < 100 else "b" if d < 150 else "c", None) for d in range(200)]
+    out = pipe.mixed(spark, spark.createDataFrame(rows, SCHEMA), sf).groupBy("source").count().collect()
+    words = {r.source: 2000 * r["count"] for r in out}
+    assert all(abs(words.get(s, 0) - target) <= 3000 for s, target in (("a", 375_000), ("b", 150_000), ("c", 75_000)))
