@@ -11,7 +11,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from faultline.llm.decontaminate import decontaminate
-from faultline.llm.mixing import placed, whole_copies
+from faultline.llm.mixing import WORD, placed, whole_copies
 from faultline.llm.near_dedup import surplus_rows
 from faultline.llm.quality_rules import keep_good
 from faultline.llm.sharding import shard_documents
@@ -32,11 +32,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group, judged by its own text also if its id repeats; of rows equal in id, text and source one."""
+    """One row of each group, judged by its own text also if its id repeats; of rows equal in id, text and source one.
+
+    Exception: the first row without an id stays in its group beside the first one with an id.
+    Rows with neither id nor words all stay.
+    """
     keyed = docs.withColumn("row_key", row_key())
     gone = stage(surplus_rows(keyed, "row_key"), "gone")
     left = only_ids(keyed, gone, "row_key", "left_anti")
-    again = stage(left.filter("doc_id is not null").groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
+    alike = left.filter(F.col("doc_id").isNotNull() | F.col("text").rlike(WORD))
+    again = stage(alike.groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
     if again.isEmpty():
         return left.select(docs.columns)
     first = F.row_number().over(Win.partitionBy("row_key").orderBy("n_chars"))

@@ -71,3 +71,12 @@ def test_sources_of_long_documents_meet_their_targets(spark, sf):
     out = pipe.mixed(spark, spark.createDataFrame(rows, SCHEMA), sf).groupBy("source").count().collect()
     words = {r.source: 2000 * r["count"] for r in out}
     assert all(abs(words.get(s, 0) - target) <= 3000 for s, target in (("a", 375_000), ("b", 150_000), ("c", 75_000)))
+
+
+def test_rows_without_id_lose_their_copies(spark, sf):
+    """Of exact and near copies without an id one stays; so does every row with neither id nor words."""
+    first, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(None, first), (None, first), (None, first + " end"), (3, other), (None, other), (None, other), (4, other + " end"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, None, "s", None) for d, t in rows], SCHEMA)
+    left = [(r.doc_id, r.text) for r in pipe.near_duplicates(spark, docs, sf).collect()]
+    assert len(left) == 5 and left.count((None, None)) == 2 and (3, other) in left and (None, other) in left
