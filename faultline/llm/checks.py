@@ -75,3 +75,49 @@ select page_id, strlen(html) as payload_bytes,
   case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to
 from p join best on best.hex = p.hex
 """
+
+#: CRC-32 of the UTF-8 bytes of a text, by the table ``crc`` of its 256 steps
+_CRC = """crc as (select list(v order by i) as steps from (
+  select i, list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    code = f"list_transform(range(0, strlen({text})), lambda k: cast('0x' || substr(hex(encode({text})), 1 + 2 * k, 2) as bigint))"
+    return f"xor(list_reduce([4294967295] || {code}, lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _merkle() -> str:
+    """Eight levels of the languages' trees and four of the tree above, written out."""
+    ctes = [
+        _CRC,
+        f"""l as (select doc_id, coalesce('=' || lang, '') as tree, {_leaf("text")} as leaf,
+  case when {_crc32("cast(doc_id as varchar)")} % 3 = 0 then {_leaf(_LOWER.format("text"))} else {_leaf("text")} end as own from documents, crc)""",
+        """w0 as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, own as folded, '' as proof from l)""",
+        "a0 as (select tree, pos, count(*) over (partition by tree) as n, leaf as digest from w0)",
+    ]
+
+    def level(nodes: str, up: str, rows: str, out: str) -> None:
+        beside = "over (partition by tree, pos // 8 order by pos rows between"
+        ctes.append(f"""s_{nodes} as (select tree, pos, n, coalesce(string_agg(digest, '') {beside} unbounded preceding and 1 preceding), '') as low,
+  coalesce(string_agg(digest, '') {beside} 1 following and unbounded following), '') as high from {nodes})""")
+        ctes.append(f"""{up} as (select tree, pos // 8 as pos, (any_value(n) + 7) // 8 as n,
+  case when any_value(n) = 1 then any_value(digest) else sha256(string_agg(digest, '' order by pos)) end as digest from {nodes} group by 1, 2)""")
+        ctes.append(f"""{out} as (select w.* replace (w.pos // 8 as pos, proof || low || high as proof,
+  case when n = 1 then folded else sha256(low || folded || high) end as folded) from {rows} w join s_{nodes} s on s.tree = w.tree and s.pos = w.pos)""")
+
+    for k in range(8):
+        level(f"a{k}", f"a{k + 1}", f"w{k}", f"w{k + 1}")
+    ctes.append("b0 as (select '' as tree, tree as below, row_number() over (order by tree) - 1 as pos, count(*) over () as n, digest from a8)")
+    ctes.append("v0 as (select w.doc_id, w.leaf, b.digest as subroot, w.folded, w.proof, b.pos, b.tree from w8 w join b0 b on b.below = w.tree)")
+    for k in range(4):
+        level(f"b{k}", f"b{k + 1}", f"v{k}", f"v{k + 1}")
+    return "with " + ",\n".join(ctes) + """
+select doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = digest as verified from v4, b4"""
+
+
+MERKLE = _merkle()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import checks
 from .chat_format import digests, format_chats
 from .decontaminate import decontaminate
+from .merkle import manifest
 from .mixing import mix
 from .near_dedup import NearDup, near_groups
 from .quality_classifier import score, train
@@ -74,3 +75,8 @@ def op4_remove_repeats(spark, sf_dir):
 def op3_warc(spark, sf_dir):
     back = archive_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_merkle_manifest", checks.MERKLE)
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest(table(spark, sf_dir, "documents"))

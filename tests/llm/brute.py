@@ -130,3 +130,47 @@ def sainte_lague(weights, seats):
         k = max(range(len(weights)), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))
         out[k] += 1
     return out
+
+
+def merkle_leaf(row, lower=False):
+    """Leaf of (doc_id, source, lang, n_chars, text)."""
+    shown = [None if v is None else str(v) for v in row]
+    if lower and shown[4] is not None:
+        shown[4] = shown[4].translate(LOWER)
+    return _sha("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in shown))
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle_root(nodes):
+    while len(nodes) > 1:
+        nodes = [_sha("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)]
+    return nodes[0]
+
+
+def merkle_siblings(nodes, at):
+    """Siblings of one node, level by level up to the root."""
+    out = []
+    while len(nodes) > 1:
+        low = at - at % 8
+        out += nodes[low:at] + nodes[at + 1 : low + 8]
+        nodes, at = [_sha("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)], at // 8
+    return out
+
+
+def merkle(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root) of each row; every version is built anew from all its leaves."""
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, merkle_leaf(r))) for x in langs}
+    base = {x: [merkle_leaf(r) for r in trees[x]] for x in langs}
+    subroots = [merkle_root(base[x]) for x in langs]
+    out = []
+    for k, x in enumerate(langs):
+        for at, r in enumerate(trees[x]):
+            changed = merkle_leaf(r, r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0)
+            folded = merkle_root([*subroots[:k], merkle_root([*base[x][:at], changed, *base[x][at + 1 :]]), *subroots[k + 1 :]])
+            proof = _sha("".join(merkle_siblings(base[x], at) + merkle_siblings(subroots, k)))
+            out.append((r[0], base[x][at], subroots[k], merkle_root(subroots), proof, folded))
+    return out
