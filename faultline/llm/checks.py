@@ -121,3 +121,28 @@ select doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, fol
 
 
 MERKLE = _merkle()
+
+
+#: two words are near if one is the other without a code point, or both are equal without the code point at one place
+_RUNS = r"unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}'))"
+SPELLING = rf"""
+with {_CRC},
+runs as (select doc_id, {_LOWER.format(_RUNS)} as run from documents),
+distinct_runs as (select coalesce(cast(doc_id as varchar), '') || ':' || run as named, run, count(*) as c from runs group by all),
+hashed as (select run, c, {_crc32("named")} as h from distinct_runs, crc),
+typed as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from hashed),
+words as (select word, cast(sum(c) as bigint) as n from typed where length(word) >= 7 group by 1 having sum(c) >= 2),
+less as (select distinct word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words) x),
+near as (
+  select a.word, b.word as other, b.n as other_n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select l.word, w.word, w.n from less l join words w on w.word = l.rest
+  union select w.word, l.word, l.n from less l join words w on w.word = l.rest),
+best as (select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by 1),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n
+  from words w left join best b on b.word = w.word),
+chain as (
+  with recursive c as (select word, form as root from forms where form is not null union all select c.word, f.form from c join forms f on f.word = c.root where f.form is not null)
+  select word, first(root order by n desc) as root from c join (select word as root, n from words) using (root) group by 1)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from forms f left join chain c on c.word = f.word
+"""

@@ -14,6 +14,7 @@ from .quality_classifier import score, train
 from .quality_rules import quality_rules
 from .registry import query, table
 from .sharding import shard_documents
+from .spelling import spelling_forms
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .warc import archive_round_trip
@@ -80,3 +81,8 @@ def op3_warc(spark, sf_dir):
 @query("op13_merkle_manifest", checks.MERKLE)
 def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_forms", checks.SPELLING)
+def op11_spelling_forms(spark, sf_dir):
+    return spelling_forms(table(spark, sf_dir, "documents"))

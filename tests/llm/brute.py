@@ -174,3 +174,42 @@ def merkle(rows):
             proof = _sha("".join(merkle_siblings(base[x], at) + merkle_siblings(subroots, k)))
             out.append((r[0], base[x][at], subroots[k], merkle_root(subroots), proof, folded))
     return out
+
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spelling(rows):
+    """word -> (form, root, n, n_near, form_n) for (doc_id, text) rows, comparing all words with all."""
+    seen = Counter()
+    for d, text in rows:
+        for run in RUN.findall(text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            seen[run] += len(run) >= 7
+    n = {w: c for w, c in seen.items() if c >= 2}
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n.get(form[w]))
+    return out
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
