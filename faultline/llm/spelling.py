@@ -8,7 +8,8 @@ looked up among the prefixes of others only.
 
 Position limits: an unspoilt pivot is as far from the start in both words (and all before it is equal) or as
 far from the end (and all after it is equal).  The index holds every prefix bigram under both kinds of key; the first pivot is
-looked up from the start, the second from the end, which covers every place of the edit.  Candidates are verified.
+looked up from the start, the second from the end, which covers every place of the edit.  Candidates whose letters
+could differ by one edit (a word's letters, taken modulo two, are the bits of one number) are verified.
 
 Hot keys are cut into even cells of ``block_rows`` by a counted histogram, so no key is one task's work.
 Defined results: null or empty text has no words; a null id is written as nothing before the colon; rows that
@@ -138,7 +139,15 @@ def contexts(letters: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return W.mix(before * np.uint64(2) + size + np.uint64(1)), W.mix(~(after * np.uint64(2) + size[::-1]))
 
 
-_SHARED = "key long, wid long, word string, n long, size int, last int"
+def letter_bits(letters: np.ndarray) -> np.ndarray:
+    """One number per word, with a bit for each letter that stands in it an odd number of times.
+
+    An inserted or deleted code point turns one bit, a replaced one turns two or none.
+    """
+    return np.bitwise_xor.reduce(np.uint64(1) << (letters % 64).astype(np.uint64), axis=1)
+
+
+_SHARED = "key long, wid long, word string, n long, size int, last int, bits long"
 
 
 def index_rows(words: DataFrame, counts: np.ndarray, p: Spelling) -> DataFrame:
@@ -182,11 +191,11 @@ def _keyed(words: DataFrame, counts: np.ndarray, p: Spelling, places, more: str
                 word = batch.column(1).take(own) if size <= p.shown_chars else pa.nulls(len(row), pa.string())
                 columns = [
                     pa.array(key.view(np.int64)), batch.column(0).take(own), word.cast(pa.string()), batch.column(2).take(own),
-                    pa.array(np.full(len(row), size, np.int32)), pa.array(last[row].astype(np.int32)),
+                    pa.array(np.full(len(row), size, np.int32)), pa.array(last[row].astype(np.int32)), pa.array(letter_bits(letters).view(np.int64)[row]),
                 ]
                 if cut:
                     columns += [pa.array(forward), pa.array(cut[0].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "wid", "word", "n", "size", "last", "forward", "cut"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "wid", "word", "n", "size", "last", "bits", "forward", "cut"][: len(columns)])
 
     return words.select("wid", "word", "n").mapInArrow(run, _SHARED + more)
 
@@ -218,12 +227,13 @@ def near_pairs(words: DataFrame, p: Spelling) -> DataFrame:
     bounded_batches(words.sparkSession)
     counts = gram_counts(words)
     index, probes = _in_cells(index_rows(words, counts, p), pivot_rows(words, counts, p), p)
-    far = probes.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "x", "y", "wid", "word", "n", "size", "last")), "forward", "cut")
+    far = probes.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "x", "y", "wid", "word", "n", "size", "last", "bits")), "forward", "cut")
     meet = (F.col("key") == F.col("key_b")) & (F.col("x") == F.col("x_b")) & (F.col("y") == F.col("y_b"))
     # of two words, the one whose prefix ends later is the one indexed
     later = (F.col("last") > F.col("last_b")) | ((F.col("last") == F.col("last_b")) & (F.col("wid") > F.col("wid_b")))
     shown = F.col("word").isNotNull() & F.col("word_b").isNotNull()
-    meet = meet & (F.abs(F.col("size") - F.col("size_b")) <= 1) & later
+    alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= 2
+    meet = meet & alike & (F.abs(F.col("size") - F.col("size_b")) <= 1) & later
     short = index.join(far, meet & shown & _one_edit("word", "word_b")).select("wid", "word", "n", "wid_b", "word_b", "n_b")
     over = p.shown_chars - 1  # a pair is long if either word is
     long = index.filter(f"size > {over}").join(far.filter(f"size_b > {over}"), meet & ~shown).select("wid", "wid_b", "forward", "cut")
