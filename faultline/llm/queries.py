@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import checks
+from . import checks, toxicity
 from .chat_format import digests, format_chats
 from .decontaminate import decontaminate
 from .merkle import manifest
@@ -86,3 +86,9 @@ def op13_merkle_manifest(spark, sf_dir):
 @query("op11_spelling_forms", checks.SPELLING)
 def op11_spelling_forms(spark, sf_dir):
     return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
