@@ -91,7 +91,7 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str =
 
 def placed(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``mix`` with their source."""
-    order = F.xxhash64(F.col(id_col), F.lit(p.seed))
+    order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(p.seed))  # rows that share an id, or have none, spread by their texts
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"), word_count(F.col(text_col)).alias("size"),

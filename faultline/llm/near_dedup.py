@@ -193,17 +193,15 @@ def near_groups(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id",
 
 
 def surplus_rows(docs: DataFrame, row_col: str, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keys in ``row_col`` of the rows that a group can spare: all but its smallest (id, key) and smallest key without id.
+    """Keys in ``row_col`` of the rows that a group can spare: all but its smallest (id, key), rows without an id last.
 
     Every row is judged by its own text, also if others share its id or it has none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row_key"), F.col(text_col).alias("text"))
-    one, named = F.struct("id", "row_key"), F.col("id").isNotNull()
-    least = {"first": F.min(F.when(named, one)), "bare": F.min(F.when(~named, F.col("row_key")))}
-    marks, reps, edges = _linked_sets(rows, p, F.lit(True), least)
-    taking = marks.filter("n_shingles > 0").join(_lowest(reps, edges, ["first", "bare"]), "set_key")
-    spare = F.when(named, one != F.col("first")).otherwise(F.col("row_key") != F.col("bare"))
-    return taking.filter(spare).select(F.col("row_key").alias(row_col)).distinct()
+    one = F.struct(F.col("id").isNull().alias("bare"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row_key"))
+    marks, reps, edges = _linked_sets(rows, p, F.lit(True), {"first": F.min(one)})
+    taking = marks.filter("n_shingles > 0").join(_lowest(reps, edges, ["first"]), "set_key")
+    return taking.filter(one != F.col("first")).select(F.col("row_key").alias(row_col)).distinct()
 
 
 def _linked_sets(rows: DataFrame, p: NearDup, part, least: dict) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 5. Each occurrence with a larger id than its window's is removed; ranges of a document are united.
 
 Texts are laid out once in buckets by row, so neither of the two later passes shuffles them.
-Hash collisions in 2 to 4 cannot change the result: bytes are compared in the end.
+Equal texts are known by a 128-bit digest and equal segments by a 64-bit hash (``words.word_hashes``, which has no
+structural collisions); between differing segments bytes are compared, so there hashes only rule out.
 
 Defined results: null text is empty; a null id is never smaller than another and loses nothing; rows of
 one id do not remove each other.

@@ -19,7 +19,6 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,9 +36,6 @@ def constants(count: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) | np.uint64(1)
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its texts; null is the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -84,37 +80,42 @@ def letters_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ..
     return word_bounds(data, bounds, _PUNCT)
 
 
+_BLOCK = 64  # bytes of a word that are hashed in one chain; a longer word is the word of its blocks' hashes
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes."""
+    """A 64-bit hash of every word's bytes: chained over eight bytes at a time, without a structure that words could meet in."""
+    size = ends - starts
+    long = np.flatnonzero(size > _BLOCK)
+    if not len(long):
+        return _chained(data, starts, size)
     out = np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + SLICE_BYTES, "right")))
-        first, last = int(starts[low]), int(ends[high - 1])
-        n = last - first
-        powers = _powers(_BASE, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data[first:last]] * powers[:n], out=sums[1:])
-        begin = starts[low:high] - first
-        whole = (sums[ends[low:high] - first] - sums[begin]) * _powers(_BACK, n + 1)[begin]
-        out[low:high] = mix(whole + (ends[low:high] - starts[low:high]).astype(np.uint64))
-        low = high
+    short = np.flatnonzero(size <= _BLOCK)
+    out[short] = _chained(data, starts[short], size[short])
+    blocks = -(-size[long] // _BLOCK)
+    last = np.cumsum(blocks)
+    nth = np.arange(last[-1]) - np.repeat(last - blocks, blocks)
+    begin = np.repeat(starts[long], blocks) + nth * _BLOCK
+    inner = _chained(data, begin, np.minimum(np.repeat(ends[long], blocks) - begin, _BLOCK)).view(np.uint8)
+    out[long] = mix(word_hashes(inner, (last - blocks) * 8, last * 8) + size[long].astype(np.uint64))
     return out
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, count: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64; the usual lengths are kept."""
-    table = _TABLES.get(base)
-    if table is None or len(table) < count:
-        table = np.full(max(count, SLICE_BYTES + 1), base, np.uint64)
-        table[0] = 1
-        table = np.cumprod(table, dtype=np.uint64)
-        if len(table) <= 4 * SLICE_BYTES:
-            _TABLES[base] = table
-    return table[:count]
+def _chained(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words of ``_BLOCK`` bytes at most."""
+    total = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    if not len(starts) or not len(data):
+        return total
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from every place on
+    for k in range(0, int(size.max()), 8):
+        on = np.flatnonzero(size > k) if k else slice(None)
+        at, left = starts[on] + k, size[on] - k
+        part = eight[np.minimum(at, len(data))] & _LOW_BYTES[np.clip(left, 0, 8)]
+        total[on] = mix(total[on] * np.uint64(_BASE) + part)
+    return total
 
 
 def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,11 @@ def sf():
     return SF
 
 
+def thue_morse(a, b, n):
+    """A text over two letters; with its complement it collides under any polynomial hash modulo a power of two."""
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
 @pytest.fixture(scope="session")
 def odd_texts():
     """Nulls, empties, ties, repeats, near copies, long runs and odd bytes."""
@@ -23,6 +28,7 @@ def odd_texts():
         None, "", " \t\n ", "a", "a", "a b", "A B", "héé ñ x", BASE * 3, BASE * 3, (BASE * 3).replace("seven", "SEVEN"), BASE * 3 + "tail",
         "prefix text before it " + BASE + " and then some other words", long, long + " end", "x" * 5000, "x" * 5003, "ab" * 400, "ab" * 377 + "c",
         "line one of text\nline one of text\n\nother line\rwith return", "### $$$ %%% &&& *** |||" * 9, "!!\n!!\n!!",
+        thue_morse("p", "q", 4096), thue_morse("q", "p", 4096), "lead " + thue_morse("p", "q", 4096) + " tail", thue_morse("q", "p", 2048) * 2,
     ]
 
 

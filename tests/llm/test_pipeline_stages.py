@@ -48,7 +48,7 @@ def test_odd_rows_pass_every_stage(spark, odd_texts, sf):
     counts = {name: stage(spark, docs, sf).count() for name, stage in pipe.STAGES}
     assert counts["shard"] == len(rows) and counts["decontaminate"] == len(rows)
     left = pipe.near_duplicates(spark, docs, sf).collect()
-    assert Counter(r.doc_id for r in left)[8] == 2 and None in {r.doc_id for r in left}
+    assert Counter(r.doc_id for r in left)[8] == 2 and None not in {r.doc_id for r in left}
     for name, stage in pipe.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
 
@@ -74,9 +74,21 @@ def test_sources_of_long_documents_meet_their_targets(spark, sf):
 
 
 def test_rows_without_id_lose_their_copies(spark, sf):
-    """Of exact and near copies without an id one stays; so does every row with neither id nor words."""
+    """Of exact and near copies one stays, with an id if any has one; so does every row with neither id nor words."""
     first, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
     rows = [(None, first), (None, first), (None, first + " end"), (3, other), (None, other), (None, other), (4, other + " end"), (None, None), (None, None)]
     docs = spark.createDataFrame([(d, t, None, "s", None) for d, t in rows], SCHEMA)
     left = [(r.doc_id, r.text) for r in pipe.near_duplicates(spark, docs, sf).collect()]
-    assert len(left) == 5 and left.count((None, None)) == 2 and (3, other) in left and (None, other) in left
+    assert len(left) == 4 and left.count((None, None)) == 2 and (3, other) in left and left.count((None, first)) + left.count((None, first + " end")) == 1
+
+
+def test_columns_of_any_name_pass_every_stage(spark, sf):
+    names = ["row_key", "row_key_", "copy", "copies", "spot", "Size", "shard", "slot", "law", "text_crc32", "order", "piece"]
+    rows = [(d, " ".join(f"w{d}x{k}" for k in range(40 + d)), "en", f"s{d % 2}", 7, *(f"{n}{d}" for n in names)) for d in range(30)]
+    docs = spark.createDataFrame([*rows, rows[3]], SCHEMA + "".join(f", {n} string" for n in names))
+    for name, stage in pipe.STAGES:
+        out = stage(spark, docs, sf)
+        shown = {n: f"input_{n.lower()}" if name == "shard" and n.lower() in pipe.PLACES else n for n in names}
+        assert set(out.columns) == {*NAMES, *shown.values(), *(pipe.PLACES if name == "shard" else ())}
+        found = out.collect()
+        assert len(found) >= 25 and all(r[shown[n]] == f"{n}{r.doc_id}" for r in found for n in names), name
