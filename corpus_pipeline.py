@@ -2,6 +2,10 @@
 
 Quality rules, near-duplicate removal, benchmark decontamination, mixing to target weights, sharding.
 Rows are told apart by a key over id, text and source, so rows that share an id are judged singly.
+
+Further columns of the input, whatever their names, go through every stage unchanged: names used inside are
+chosen anew where the input has them.  The last stage adds columns; an input column of such a name is kept as
+``input_<name>``.
 """
 
 from __future__ import annotations
@@ -26,6 +30,20 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text", "source")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until the input has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their key, and the name of its column."""
+    key = free_name(docs, "row_key")
+    return docs.withColumn(key, row_key()), key
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,46 +52,57 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, judged by its own text also if its id repeats; of rows equal in id, text and source one.
 
-    Exception: the first row without an id stays in its group beside the first one with an id.
-    Rows with neither id nor words all stay.
+    The row that stays is the group's smallest by id; rows without an id come last.  Rows with neither id nor words all stay.
     """
-    keyed = docs.withColumn("row_key", row_key())
-    gone = stage(surplus_rows(keyed, "row_key"), "gone")
-    left = only_ids(keyed, gone, "row_key", "left_anti")
+    rows, key = keyed(docs)
+    gone = stage(surplus_rows(rows, key), "gone")
+    left = only_ids(rows, gone, key, "left_anti")
     alike = left.filter(F.col("doc_id").isNotNull() | F.col("text").rlike(WORD))
-    again = stage(alike.groupBy("row_key").count().filter("count > 1").select("row_key"), "again")
+    again = stage(alike.groupBy(key).count().filter("count > 1").select(key), "again")
     if again.isEmpty():
         return left.select(docs.columns)
-    first = F.row_number().over(Win.partitionBy("row_key").orderBy("n_chars"))
-    one = only_ids(left, again, "row_key").withColumn("spot", first).filter("spot = 1")
-    return only_ids(left, again, "row_key", "left_anti").select(docs.columns).union(one.select(docs.columns))
+    spot = free_name(rows, "spot")
+    first = F.row_number().over(Win.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    one = only_ids(left, again, key).withColumn(spot, first).filter(F.col(spot) == 1)
+    return only_ids(left, again, key, "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark window contaminates."""
-    keyed = docs.withColumn("row_key", row_key())
-    found = decontaminate(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stage(found.filter("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
-    return only_ids(keyed, gone, "row_key", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    found = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stage(found.filter("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return only_ids(rows, gone, key, "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, in whole documents; remainders are carried within a source."""
-    keyed = docs.withColumn("row_key", row_key())
-    taken = whole_copies(placed(keyed, id_col="row_key"))
-    copies = stage(taken.filter("copies > 0").withColumnRenamed("doc_id", "row_key"), "copies")
+    rows, key = keyed(docs)
+    times = free_name(rows, "copies")
+    taken = whole_copies(placed(rows.select(key, "text", "source"), id_col=key))
+    copies = stage(taken.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(times)), "copies")
     small = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = keyed.join(F.broadcast(copies) if small else copies, "row_key")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    rows = rows.join(F.broadcast(copies) if small else copies, key)
+    return rows.withColumn(free_name(rows, "copy"), F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+
+
+PLACES = ("size", "text_crc32", "law", "shard", "slot")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its slot there; rows of equal text share a shard."""
-    keyed = docs.withColumn("row_key", row_key())
-    places = shard_documents(keyed, id_col="row_key").withColumnRenamed("doc_id", "row_key")
-    places = places.withColumn("copy", F.row_number().over(Win.partitionBy("row_key").orderBy("slot")))
-    rows = keyed.withColumn("copy", F.row_number().over(Win.partitionBy("row_key").orderBy("row_key")))
-    return rows.join(places.select("row_key", "copy", "size", "text_crc32", "law", "shard", "slot"), ["row_key", "copy"]).drop("row_key", "copy")
+    """Every row with its shard and its slot there; rows of equal text share a shard.
+
+    Adds size, text_crc32, law, shard and slot; input columns of these names are kept as ``input_<name>``.
+    """
+    for name in docs.columns:
+        if name.lower() in PLACES:
+            docs = docs.withColumnRenamed(name, free_name(docs, f"input_{name.lower()}"))
+    rows, key = keyed(docs)
+    nth = free_name(rows, "copy")
+    places = shard_documents(rows.select(key, "text"), id_col=key).withColumnRenamed("doc_id", key)
+    places = places.withColumn(nth, F.row_number().over(Win.partitionBy(key).orderBy("slot")))
+    rows = rows.withColumn(nth, F.row_number().over(Win.partitionBy(key).orderBy(key)))
+    return rows.join(places.select(key, nth, *PLACES), [key, nth]).drop(key, nth)
 
 
 STAGES = [
