@@ -43,6 +43,13 @@ VIEWS: dict[str, str] = {
           select 'r' || cast(user_id as string) as run_key, event_id as line_no, event_id, event_type,
                  cast(event_id as string) as id, regexp_extract(props, '([0-9]+)', 1) as k
           from events) e""",
+    # the same logs as uploads: lines of even number first; jobs of even number send those of odd number later
+    "v_uploads": """
+        select run_key, line_no, line, line_no % 2 as upload_id from v_log
+        where line_no % 2 = 0 or cast(substring(run_key, 2) as bigint) % 2 = 0""",
+    "v_newest": """
+        select u.run_key, u.line_no, u.line from v_uploads u
+        join (select run_key, max(upload_id) as upload_id from v_uploads group by run_key) m on m.run_key = u.run_key and m.upload_id = u.upload_id""",
     # every distinct (supplier, part) is one model of the supplier's project
     "v_lag": """
         select sk, pk,

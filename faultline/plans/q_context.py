@@ -256,7 +256,7 @@ def _renamed(sql: str, tag: str) -> str:
 
 _UP = _renamed(walk_sql("up_edges", 6, "es.score > 0", "rsig"), "_up")
 _DOWN = _renamed(walk_sql("down_edges", 5, "true", "rsig"), "_down")
-_WHOLE = f"""{FAILING},{CLEAN},{BLAME},{PROFILES},{UP},{DOWN},{TESTED},{CARDS},{test_signal_sql('case_tests')},{_CASES},{_UP},{_DOWN},
+WHOLE = f"""{FAILING},{CLEAN},{BLAME},{PROFILES},{UP},{DOWN},{TESTED},{CARDS},{test_signal_sql('case_tests')},{_CASES},{_UP},{_DOWN},
 {macro_sql('diag')},{definition_sql('diag')},{COMPILED},
 sections as (
   select d.run_key, d.root_id, 0 as seq, 'test_failure' as key, c.text from diag d join case_tests t on t.run_key = d.run_key join cards c on c.run_key = t.run_key and c.test_id = t.test_id
@@ -283,13 +283,13 @@ def contexts(i: Inputs, provider: str = "") -> DataFrame:
     return pipeline.failure_contexts(i.v_log, ledger(i), blamed(i), project(i), provider)
 
 
-@query("file_contexts", ctes=_WHOLE, sql="select run_key, file, context from contexts")
+@query("file_contexts", ctes=WHOLE, sql="select run_key, file, context from contexts")
 def file_contexts(i: Inputs) -> DataFrame:
     return contexts(i).select("run_key", "file", "context")
 
 
 _JOIN_LINE = r"(?s)^.*\n(join [^\n]*)$"
-_DIFFED = _WHOLE.replace(
+_DIFFED = WHOLE.replace(
     "'FILE DIFF:' || chr(10) || 'NO_DIFF' ||",
     f"""'FILE DIFF:' || chr(10) || case when regexp_matches(text, {D.lit(_JOIN_LINE)}) then
       '-left ' || regexp_extract(text, {D.lit(_JOIN_LINE)}, 1) || chr(10) || '+' || regexp_extract(text, {D.lit(_JOIN_LINE)}, 1) else 'NO_DIFF' end ||""",

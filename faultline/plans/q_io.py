@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import mentions, outbox
+from ..operators import errors, mentions, outbox, pipeline
 from ..session import work_dir
 from ..settings import LABELS
 from ..sources import files, logs, manifest
 from ..streaming import ingest
 from . import duck as D
 from .q_answers import _FIXING, PATHS
-from .q_logs import CLEAN, IDS, mentions_sql
+from .q_context import WHOLE, project
+from .q_logs import BLAME, BLAMED, CLEAN, IDS, mentions_sql
 from .registry import Inputs, query
 
 # --- files -----------------------------------------------------------------------------
@@ -134,9 +137,9 @@ def run_ledger(i: Inputs) -> DataFrame:
     empty = i.v_log.sparkSession.createDataFrame([], "run_key string, run_id string")
     opening = logs.run_ids(i.v_log).groupBy("run_key").agg(F.min_by(F.struct("run_id", "line_no"), "line_no").alias("first"))
     logs.append_ledger(opening.select("run_key", "first.*").join(empty, ["run_key", "run_id"], "left_anti"), path, 1)
-    known = i.spark.read.parquet(path)
-    logs.append_ledger(logs.new_run_ids(i.v_log, known), path, 2)
-    return i.spark.read.parquet(path).select("run_key", "run_id", "seq.batch", "seq.line_no")
+    for _ in range(2):  # the second append is run again, as after a failure
+        logs.append_ledger(logs.new_run_ids(i.v_log, logs.read_ledger(i.spark, path)), path, 2)
+    return logs.read_ledger(i.spark, path).select("run_key", "run_id", "seq.batch", "seq.line_no")
 
 
 _TWICE = f"""
@@ -156,16 +159,17 @@ begins as (select n.run_key, min(line_no) as start_line from newest n join last_
         where line_no >= start_line and {D.strip('line')} <> ''""",
 )
 def second_upload(i: Inputs) -> DataFrame:
-    """Each job's log comes in two uploads of one day; the second one's lines have smaller numbers."""
+    """Each job's log comes in two uploads of one day, landed twice each; the second one's lines have smaller numbers."""
     base = work_dir(i.spark, "uploads")
     landing, arrivals, ledger = f"{base}/landing", f"{base}/arrivals", f"{base}/ledger"
     known = i.spark.createDataFrame([], "run_key string, run_id string")
     for upload in (0, 1):
         lines = i.v_log.filter(F.col("line_no") % 2 == upload).withColumn("line_no", F.col("line_no") + (1_000_000_000 if upload == 0 else 0))
-        ingest.land_upload(lines, F.lit(upload), F.lit("2024-01-01").cast("date"), landing, arrivals)
+        for _ in range(2):  # every upload is landed again, as after a failure
+            ingest.land_upload(lines, F.lit(upload), F.lit("2024-01-01").cast("date"), landing, arrivals)
         logs.append_ledger(logs.new_run_ids(lines, known), ledger, upload)
-        known = i.spark.read.parquet(ledger)
-    stored = ingest.uploaded_lines(i.spark.read.schema(ingest.ARRIVALS).parquet(arrivals), landing)
+        known = logs.read_ledger(i.spark, ledger)
+    stored = ingest.uploaded_lines(ingest.read_arrivals(i.spark, arrivals), landing)
     return logs.latest_slice(stored, known)
 
 
@@ -207,6 +211,52 @@ def stream_mentions(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(f"{base}/mentions").select("run_key", "pattern", "n")
 
 
+def _of_newest(sql: str) -> str:
+    """Check SQL over the newest uploads in place of whole logs."""
+    return re.sub(r"\bv_log\b", "v_newest", sql)
+
+
+def _streamed(i: Inputs, name: str, diagnose) -> DataFrame:
+    """Results of the newest uploads: two rounds of landing, each landed twice, and one stream over both.
+
+    The first upload's results stand in the sink when the second upload of half of the jobs comes.
+    """
+    base = work_dir(i.spark, "uploads")
+    landing, arrivals = f"{base}/landing", f"{base}/arrivals"
+    for upload in (0, 1):
+        for _ in range(2):
+            ingest.land_upload(i.v_uploads.filter(F.col("upload_id") == upload), F.lit(upload), F.lit("2024-01-01").cast("date"), landing, arrivals)
+        uploads = ingest.accepted_uploads(i.spark, arrivals)
+        ingest.each_upload(uploads, landing, diagnose, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return ingest.newest_results(i.spark, f"{base}/out", name)
+
+
+def _ledger_of(lines: DataFrame) -> DataFrame:
+    return logs.run_ids(lines).withColumnRenamed("line_no", "seq")
+
+
+@query("stream_error_files", ctes=_of_newest(f"{IDS},{CLEAN},{BLAME}"), sql=BLAMED)
+def stream_error_files(i: Inputs) -> DataFrame:
+    """Blamed files, kept up with the uploads."""
+
+    def diagnose(lines: DataFrame) -> dict[str, DataFrame]:
+        return {"blamed": errors.error_files(lines, _ledger_of(lines), i.v_nodes, i.v_macros, i.v_deps, i.v_files)}
+
+    order = Window.partitionBy("run_key").orderBy("pattern", "line_no", "idx")
+    return _streamed(i, "blamed", diagnose).withColumn("ord", F.row_number().over(order)).drop("line_no", "idx", "upload_id")
+
+
+@query("stream_contexts", ctes=_of_newest(WHOLE), sql="select run_key, file, context from contexts")
+def stream_contexts(i: Inputs) -> DataFrame:
+    """Contexts of the blamed files, kept up with the uploads."""
+
+    def diagnose(lines: DataFrame) -> dict[str, DataFrame]:
+        ledger = _ledger_of(lines)
+        return {"contexts": pipeline.failure_contexts(lines, ledger, pipeline.blamed_files(lines, ledger, project(i)), project(i))}
+
+    return _streamed(i, "contexts", diagnose).select("run_key", "file", "context")
+
+
 @query(
     "stream_outbox",
     ctes=PATHS + "," + _FIXING + f""",

@@ -115,12 +115,11 @@ def blamed(i: Inputs) -> DataFrame:
     return errors.error_files(i.v_log, ledger(i), i.v_nodes, i.v_macros, i.v_deps, i.v_files)
 
 
-@query(
-    "error_files",
-    ctes=f"{IDS},{CLEAN},{BLAME}",
-    sql="""select run_key, file, scope, tier, first[1] as pattern,
-        row_number() over (partition by run_key order by first) as ord from blamed""",
-)
+BLAMED = """select run_key, file, scope, tier, first[1] as pattern,
+        row_number() over (partition by run_key order by first) as ord from blamed"""
+
+
+@query("error_files", ctes=f"{IDS},{CLEAN},{BLAME}", sql=BLAMED)
 def error_files(i: Inputs) -> DataFrame:
     order = Window.partitionBy("run_key").orderBy("pattern", "line_no", "idx")
     return blamed(i).withColumn("ord", F.row_number().over(order)).drop("line_no", "idx")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from . import commits
 
 BLOCK_LINES = 1 << 18
 LOOKAHEAD = 6  # the longest reference pattern has seven words, so six lines can follow
@@ -62,10 +63,21 @@ def new_run_ids(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     return run_ids(lines).join(ledger.select("run_key", "run_id"), ["run_key", "run_id"], "left_anti")
 
 
+LEDGER = "run_key string, run_id string, seq struct<batch: long, line_no: long>"
+
+
 def append_ledger(new_ids: DataFrame, path: str, batch: int) -> None:
-    """Append ids; ``batch`` rises with every append, whatever lines the ids stood on."""
-    seq = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("line_no"))
-    new_ids.select("run_key", "run_id", seq.alias("seq")).write.mode("append").parquet(path)
+    """Append ids; ``batch`` rises with every append, whatever lines the ids stood on.
+
+    The append of a batch that is run again, after whatever failure, leaves its ids there once.
+    """
+    seq = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("line_no").cast("long").alias("line_no"))
+    commits.append(new_ids.select("run_key", "run_id", seq.alias("seq")), path, batch)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(run_key, run_id, seq) of all appends."""
+    return commits.read(spark, path, LEDGER)
 
 
 def latest_ids(ledger: DataFrame) -> DataFrame:

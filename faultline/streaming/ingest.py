@@ -1,4 +1,4 @@
-"""Continuous ingest: landed failure logs in, outbox rows out."""
+"""Continuous ingest: landed failure logs in, results of the newest upload and outbox rows out."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import stage
+from ..sources import commits
 from ..sources.logs import is_separator, separator_id
 
-LINES = "run_key string, upload_id long, line_no long, line string, day date"
-ARRIVALS = "run_key string, upload_id long, day date"
+LINES = "run_key string, upload_id long, line_no long, line string, part string, day date"
+ARRIVALS = "run_key string, upload_id long, day date, part string"
 
 
 def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
@@ -22,28 +24,45 @@ def upload_key(repo: Column, commit_hash: Column, dbt_path: Column) -> Column:
 def land_upload(lines: DataFrame, upload_id: Column, day: Column, landing: str, arrivals: str) -> None:
     """Store the lines of uploads by day, then announce them; a later upload of a key has a larger id.
 
-    An announcement is written only after its lines are complete, however many files hold
-    them, so a reader of the announcements never sees half a log.
+    Lines land in a part of their own, which is announced when it is complete.  A job that is killed leaves a part
+    that nobody reads; one that is run again announces a second part for its uploads, of which readers take the first.
     """
     dated = lines.select("run_key", upload_id.cast("long").alias("upload_id"), "line_no", "line", day.alias("day"))
-    dated.write.mode("append").partitionBy("day").parquet(landing)
-    dated.select("run_key", "upload_id", "day").distinct().write.mode("append").parquet(arrivals)
+    part = commits.write_part(dated, landing, ("day",))
+    stored = lines.sparkSession.read.schema(LINES).parquet(landing).filter(F.col("part") == part)
+    commits.publish(stored.select("run_key", "upload_id", "day", "part").distinct(), arrivals)
+
+
+def read_arrivals(spark: SparkSession, arrivals: str) -> DataFrame:
+    """All announced uploads."""
+    return commits.published(spark.read.schema(ARRIVALS).parquet(arrivals))
 
 
 def accepted_uploads(spark: SparkSession, arrivals: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of announced uploads."""
-    return spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
+    return commits.published(spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals))
 
 
-def uploaded_lines(batch: DataFrame, landing: str) -> DataFrame:
-    """All lines of the newest upload of each key announced in a batch.
+def newest_uploads(batch: DataFrame) -> DataFrame:
+    """(run_key, upload_id, day, part) of the newest upload of each key, where it was announced first."""
+    order = F.struct("upload_id", (-F.col("published")).alias("early"), "part")
+    return batch.groupBy("run_key").agg(F.max_by(F.struct("upload_id", "day", "part"), order).alias("u")).select("run_key", "u.*")
+
 
-    The batch's days, a handful of values, become a literal filter, so other days are not scanned.
+def lines_of(uploads: DataFrame, landing: str) -> DataFrame:
+    """(run_key, line_no, line) of the given uploads.
+
+    Their days and parts, a handful of values for each announcement file, become literal filters, so other folders are not scanned.
     """
-    newest = batch.groupBy("run_key").agg(F.max(F.struct("upload_id", "day")).alias("u")).select("run_key", "u.*")
-    days = [r["day"] for r in newest.select("day").distinct().collect()]
-    stored = batch.sparkSession.read.schema(LINES).parquet(landing).filter(F.col("day").isin(days))
-    return stored.join(newest, ["run_key", "upload_id", "day"]).select("run_key", "line_no", "line")
+    spots = uploads.select("day", "part").distinct().collect()
+    days, parts = {r["day"] for r in spots}, {r["part"] for r in spots}
+    stored = uploads.sparkSession.read.schema(LINES).parquet(landing).filter(F.col("day").isin(*days) & F.col("part").isin(*parts))
+    return stored.join(uploads, ["run_key", "upload_id", "day", "part"]).select("run_key", "line_no", "line")
+
+
+def uploaded_lines(batch: DataFrame, landing: str) -> DataFrame:
+    """All lines of the newest upload of each key announced in a batch."""
+    return lines_of(newest_uploads(batch), landing)
 
 
 def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
@@ -92,3 +111,49 @@ def each_batch(
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+# --- results of the newest upload ------------------------------------------------------
+
+DONE = "run_key string, upload_id long"
+
+
+def each_upload(
+    stream: DataFrame, landing: str, transform: Callable[[DataFrame], dict[str, DataFrame]], sink: str, checkpoint: str
+) -> StreamingQuery:
+    """Run ``transform(lines)`` on the newest uploads of every micro-batch; their results replace those of older uploads.
+
+    Result rows, tables by name with a ``run_key`` each, are written under the upload that they come from, and the uploads themselves last, as
+    one row for each key, also for a key without any result.  ``newest_results`` reads the rows of each key's newest upload only.
+    Uploads that are not newer than what an earlier batch has done are left out; a batch that is run again replaces its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        uploads = newest_uploads(batch)
+        if batch_id:
+            done = spark.read.schema(f"{DONE}, batch_id long").parquet(f"{sink}/uploads").filter(F.col("batch_id") < batch_id)
+            latest = done.groupBy("run_key").agg(F.max("upload_id").alias("latest"))
+            uploads = uploads.join(latest, "run_key", "left").filter("latest is null or upload_id > latest").drop("latest")
+        uploads = stage(uploads, "uploads")
+        version = uploads.select("run_key", "upload_id")
+        for name, rows in transform(lines_of(uploads, landing)).items():
+            rows.join(version, "run_key").write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
+        version.write.mode("overwrite").parquet(f"{sink}/uploads/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def newest_results(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """Rows of table ``name`` that come from each key's newest upload, with its ``upload_id``."""
+    done = spark.read.schema(f"{DONE}, batch_id long").parquet(f"{sink}/uploads")
+    newest = done.groupBy("run_key").agg(F.max(F.struct("upload_id", "batch_id")).alias("u")).select("run_key", "u.*")
+    return spark.read.parquet(f"{sink}/{name}").join(newest, ["run_key", "upload_id", "batch_id"]).drop("batch_id")
+
+
+def compact_results(spark: SparkSession, sink: str, name: str, path: str) -> None:
+    """Write the newest results of table ``name`` to ``path`` as a plain table, without what later uploads replaced."""
+    newest_results(spark, sink, name).write.mode("overwrite").parquet(path)

@@ -141,7 +141,7 @@ def test_ledger_takes_each_id_once(spark, tmp_path):
     lines = spark.createDataFrame([("r", n, f"{bar}|{i}|{bar}") for n, i in enumerate(["a", "b", "a", "c"])], LINE)
     path = str(tmp_path / "ledger")
     logs.append_ledger(logs.new_run_ids(lines, spark.createDataFrame([("r", "b")], "run_key string, run_id string")), path, 7)
-    ledger = spark.read.parquet(path)
+    ledger = logs.read_ledger(spark, path)
     assert {(r["run_id"], *r["seq"]) for r in ledger.collect()} == {("a", 7, 2), ("c", 7, 3)}
     assert logs.new_run_ids(lines, ledger).select(F.collect_set("run_id")).first()[0] == ["b"]
 
@@ -152,8 +152,8 @@ def test_a_later_append_wins_whatever_its_lines(spark, tmp_path):
     first = spark.createDataFrame([("r", 900, f"{bar}|old|{bar}")], LINE)
     second = spark.createDataFrame([("r", 1, f"{bar}|new|{bar}"), ("r", 2, "after it")], LINE)
     logs.append_ledger(logs.run_ids(first), path, 1)
-    logs.append_ledger(logs.new_run_ids(second, spark.read.parquet(path)), path, 2)
-    ledger = spark.read.parquet(path)
+    logs.append_ledger(logs.new_run_ids(second, logs.read_ledger(spark, path)), path, 2)
+    ledger = logs.read_ledger(spark, path)
     assert [r["run_id"] for r in logs.latest_ids(ledger).collect()] == ["new"]
     assert [r["line_no"] for r in logs.latest_slice(second, ledger).orderBy("line_no").collect()] == [1, 2]
 
@@ -165,7 +165,6 @@ def test_two_uploads_of_one_key_stay_apart(spark, tmp_path):
     day = F.lit("2024-01-01").cast("date")
     for upload, text in ((1, "old"), (2, "new")):
         ingest.land_upload(spark.createDataFrame([("r", n, f"{text}{n}") for n in range(3)], LINE), F.lit(upload), day, landing, arrivals)
-    batch = spark.read.schema(ingest.ARRIVALS).parquet(arrivals)
-    lines = ingest.uploaded_lines(batch, landing)
+    lines = ingest.uploaded_lines(ingest.read_arrivals(spark, arrivals), landing)
     assert sorted(r["line"] for r in lines.collect()) == ["new0", "new1", "new2"]
     assert "day" in lines._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
