@@ -271,6 +271,43 @@ def line_changes(i: Inputs) -> DataFrame:
     return found.groupBy("run_key", "path", "sign", "line").agg(F.count("*").alias("n"))
 
 
+# documents as two versions of a file whose lines are numbered: the base lacks every fifth line, the head every seventh,
+# and lines of even number are in lower case in the base
+_NUMBERED = """
+numbered as (select source as run_key, doc_id, generate_subscripts(l, 1) as i, unnest(l) as line from (
+  select source, doc_id, case when l[-1] = '' then l[:-2] else l end as l from (
+    select source, doc_id, string_split(regexp_replace(text, '\\r\\n|[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), chr(10)) as l from documents) a) b),
+olds as (select run_key, doc_id, i, cast(i as varchar) || ':' || case when i % 2 = 0 then lower(line) else line end as line,
+  row_number() over (partition by run_key, doc_id order by i) as no from numbered where i % 5 <> 0),
+news as (select run_key, doc_id, i, cast(i as varchar) || ':' || line as line, row_number() over (partition by run_key, doc_id order by i) as no from numbered where i % 7 <> 0),
+moves as (select run_key, doc_id, i, '-' as sign, no as old_no, null as new_no, line from olds o where not exists (
+    select 1 from news n where n.run_key = o.run_key and n.doc_id = o.doc_id and n.i = o.i and n.line = o.line)
+  union all select run_key, doc_id, i, '+', null, no, line from news n where not exists (
+    select 1 from olds o where n.run_key = o.run_key and n.doc_id = o.doc_id and n.i = o.i and n.line = o.line)),
+kept as (select o.run_key, o.doc_id, o.i from olds o join news n on n.run_key = o.run_key and n.doc_id = o.doc_id and n.i = o.i and n.line = o.line),
+gaps as (select run_key, doc_id, i, sign, old_no, new_no, line, sum(k) over (partition by run_key, doc_id order by i) as gap from (
+  select *, 0 as k from moves union all select run_key, doc_id, i, null, null, null, null, 1 from kept) u)"""
+
+
+@query(
+    "ordered_line_changes",
+    ctes=_NUMBERED,
+    sql="""select run_key, 'd' || cast(doc_id as varchar) as path, cast(row_number() over (partition by run_key, doc_id order by gap, sign desc, i) - 1 as int) as place,
+        sign, cast(old_no as int) as old_no, cast(new_no as int) as new_no, line from gaps where sign is not null""",
+)
+def ordered_line_changes(i: Inputs) -> DataFrame:
+    """Removed and added lines with their numbers, in file order; numbered lines are unique, so there is one right answer."""
+    lines = F.transform(T.split_lines(F.col("text")), lambda x, k: F.struct((k + 1).alias("i"), x.alias("line")))
+
+    def version(every: int, shown) -> DataFrame:
+        kept = F.filter(lines, lambda x: x["i"] % every != 0)
+        text = F.array_join(F.transform(kept, lambda x: F.concat(x["i"].cast("string"), F.lit(":"), shown(x))), "\n")
+        return i.documents.select(F.col("source").alias("run_key"), F.concat(F.lit("d"), "doc_id").alias("path"), text.alias("text"))
+
+    base = version(5, lambda x: F.when(x["i"] % 2 == 0, F.lower(x["line"])).otherwise(x["line"]))
+    return changes.line_changes(version(7, lambda x: x["line"]), base)
+
+
 @query(
     "project_settings",
     sql=r"""select run_key, nullif(regexp_extract(text, 'schema:\s*(\S+)', 1), '') as schema_name,
