@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,3 +40,14 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table scan over all cores, where the scan alone keeps less than half of them busy.
+
+    A few large row groups are a few tasks, however small the splits are planned.  The tasks that get rows are counted
+    from the files' footers; a scan of many row groups comes back as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    busy = scan.select(F.spark_partition_id().alias("task")).distinct().count()
+    return scan if 2 * busy >= cores else scan.repartition(2 * cores)
