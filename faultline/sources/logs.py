@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import stage
 from . import commits
 
 BLOCK_LINES = 1 << 18
+BROADCAST_SPLITS = 100_000  # rows of some 200 bytes
 LOOKAHEAD = 6  # the longest reference pattern has seven words, so six lines can follow
 # what a following line can add to an open match: a few words and one parenthesis
 _HEAD = r"(?U)\A(?:[\w.$'\"`-]+\s*){0,7}(?:\([^)\n]*\)?)?"
@@ -23,20 +25,23 @@ _HEAD = r"(?U)\A(?:[\w.$'\"`-]+\s*){0,7}(?:\([^)\n]*\)?)?"
 def read_logs(spark: SparkSession, path: str, key_pattern: str = r"([^/]+?)(?:\.[^./]*)?\z") -> DataFrame:
     """(run_key, line_no, line) of every text file; group 1 of ``key_pattern`` on its path is the key.
 
-    Files are split as Spark splits any text file; lines end at line feeds, carriage returns or both.  A split
-    numbers its own lines, and the splits' line counts, one row each, give every split its first number.
+    Files are split as Spark splits any text file; lines end at line feeds, carriage returns or both.  Lines of a split
+    are numbered by their place in its task, and the splits' line counts, one row each, give every split its first
+    number.  So no line is shuffled or sorted; the counts are broadcast while they are few.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
     )
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = raw.groupBy("file", "split").count().select(
-        "file", "split", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
-    )
-    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("place")) - 1
-    return raw.withColumn("inside", inside).join(starts, ["file", "split"]).select(
-        F.regexp_extract("file", key_pattern, 1).alias("run_key"), (F.col("start") + F.col("inside")).alias("line_no"), "line"
+    counts = raw.groupBy("file", "split").agg(F.count("*").alias("count"), F.min("place").alias("first"))
+    starts = stage(counts.select("file", "split", "first", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")), "splits")
+    few = starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    # both scans deal the splits out alike; a line whose task is not that of its split's count must not get a wrong number
+    same_task = F.shiftright("place", 33) == F.shiftright("first", 33)
+    number = F.when(same_task, F.col("start") + F.col("place") - F.col("first")).otherwise(F.raise_error(F.lit("splits were dealt out anew")).cast("long"))
+    return raw.join(F.broadcast(starts) if few else starts, ["file", "split"]).select(
+        F.regexp_extract("file", key_pattern, 1).alias("run_key"), number.alias("line_no"), "line"
     )
 
 

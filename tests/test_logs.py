@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.errors import error_files, lineage_gate, failing_tests
 from faultline.operators.mentions import PATTERNS, mentions
+from faultline.operators import resolve
 from faultline.sources import logs
 
 LINE = "run_key string, line_no long, line string"
@@ -168,3 +169,31 @@ def test_two_uploads_of_one_key_stay_apart(spark, tmp_path):
     lines = ingest.uploaded_lines(ingest.read_arrivals(spark, arrivals), landing)
     assert sorted(r["line"] for r in lines.collect()) == ["new0", "new1", "new2"]
     assert "day" in lines._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_numbering_shuffles_no_lines_and_holds_over_many_splits(spark, tmp_path):
+    rng, wanted = random.Random(3), []
+    for f in range(4):
+        lines = ["x" * rng.randrange(60) + str(n) for n in range(rng.choice((0, 5, 900)))]
+        (tmp_path / f"log{f}.txt").write_text("\n".join(lines) + ("\n" if lines else ""))
+        wanted += [(f"log{f}", n, line) for n, line in enumerate(lines)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = logs.read_logs(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in df.collect()) == sorted(wanted)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_long_name_gives_few_token_runs(spark):
+    name = "_".join(f"t{k}" for k in range(2000))
+    stems = ["t5", "t7_t8", "t100_t101_t102", "nowhere", "t1998_t1999", "t3_t5"]
+    files = spark.createDataFrame([("r", f"models/{s}.sql") for s in stems], "run_key string, path string")
+    tests = spark.createDataFrame([("r", name), ("other", name), ("r", "t7"), ("r", "__t7_t8__")], "run_key string, name string")
+    runs = resolve.name_runs(tests, resolve.stem_index(files))
+    assert runs.filter(F.col("name") == name).count() <= 3 * 2000
+    got = {r["name"]: r["inferred_path"] for r in resolve.infer_from_names(tests, files).collect()}
+    assert got == {name: "models/t100_t101_t102.sql", "__t7_t8__": "models/t7_t8.sql"}
