@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import chunks as C
+from ..functions import vectors as V
 from ..settings import LIMITS
 
 
@@ -62,6 +63,25 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = LIMITS.top_chu
     )
 
 
+def chunk_vectors(rows: DataFrame, key: str = "key") -> DataFrame:
+    """(key, seq, embedding) of the chunks in ``rows(key, seq, body)``."""
+    return rows.select(F.col(key).alias("key"), "seq", V.text_vectors(F.col("body")).alias("embedding"))
+
+
+def with_nearest_chunks(df: DataFrame, chunks: str, asked: str, out: str, k: int = LIMITS.top_chunks) -> DataFrame:
+    """Add ``out``, array<struct<title, body>>: the k chunks of a row nearest to its ``asked`` text, ties in chunk order.
+
+    Vectors are made and compared inside the row; nothing is shuffled.  Null chunks give null.
+    """
+    far = V.squared_distances(F.transform(chunks, lambda c: c["body"]), F.col(asked))
+    near = F.array_sort(F.transform(
+        F.arrays_zip(F.col(chunks).alias("c"), F.col("_far").alias("far")),
+        lambda z: F.struct(z["far"].alias("far"), z["c"]["seq"].alias("seq"), z["c"]["title"].alias("title"), z["c"]["body"].alias("body")),
+    ))
+    top = F.transform(F.slice(near, 1, k), lambda c: F.struct(c["title"].alias("title"), c["body"].alias("body")))
+    return df.withColumn("_far", far).withColumn(out, F.when(F.col(chunks).isNotNull(), top)).drop("_far")
+
+
 def choose_retrieval(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     """(key, mode, rank, seq): vector hits where a key has them, lexical hits elsewhere."""
     have = vector.select("key").distinct()
