@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,11 @@ from ..functions import symbols as S
 from ..operators import context as C
 from ..operators import changes, errors, lineage, pipeline
 from ..session import stage
+from ..settings import SHRINKING_PROVIDER
 from . import duck as D
 from .q_lineage import DOWN, FAILING, PROFILES, SCORE, TESTED, UP, profiles, walk_sql
 from .q_logs import BLAME, CLEAN, blamed, ledger, mentions_sql, sliced
+from .q_text import focus_sql
 from .registry import Inputs, query
 
 # --- check SQL -------------------------------------------------------------------------
@@ -249,27 +254,29 @@ rsig as (select run_key, root_id, list(distinct signal) as signals from (
 
 
 def _renamed(sql: str, tag: str) -> str:
-    import re
-
     return re.sub(r"\b(l1|r1|es|l2|d2|walked)\b", lambda m: m.group(1) + tag, sql)
 
 
 _UP = _renamed(walk_sql("up_edges", 6, "es.score > 0", "rsig"), "_up")
 _DOWN = _renamed(walk_sql("down_edges", 5, "true", "rsig"), "_down")
-WHOLE = f"""{FAILING},{CLEAN},{BLAME},{PROFILES},{UP},{DOWN},{TESTED},{CARDS},{test_signal_sql('case_tests')},{_CASES},{_UP},{_DOWN},
-{macro_sql('diag')},{definition_sql('diag')},{COMPILED},
+_HEAD = f"""{FAILING},{CLEAN},{BLAME},{PROFILES},{UP},{DOWN},{TESTED},{CARDS},{test_signal_sql('case_tests')},{_CASES},{_UP},{_DOWN}"""
+
+
+def _assembled(related: str, up: str, down: str) -> str:
+    """All sections and the contexts, from the bodies of related test models and of the nodes of both walks."""
+    return f"""
 sections as (
   select d.run_key, d.root_id, 0 as seq, 'test_failure' as key, c.text from diag d join case_tests t on t.run_key = d.run_key join cards c on c.run_key = t.run_key and c.test_id = t.test_id
-  union all select d.run_key, d.root_id, 1000 + t.n, 'test_model_' || cast(t.n as varchar), {_block('RELATED_TEST_MODEL', 'm.name', 'm.path', '1', 'm.text')}
+  union all select d.run_key, d.root_id, 1000 + t.n, 'test_model_' || cast(t.n as varchar), {_block('RELATED_TEST_MODEL', 'm.name', 'm.path', '1', related)}
     from diag d join case_tests c on c.run_key = d.run_key join tested t on t.run_key = c.run_key and t.id = c.test_id and t.model_id <> d.root_id
     join profiles m on m.run_key = t.run_key and m.id = t.model_id
-  union all select w.run_key, w.root_id, 2000 + w.ord, m.name, {_block('UPSTREAM_MODEL', 'm.name', 'm.path', 'w.depth', 'm.text')}
+  union all select w.run_key, w.root_id, 2000 + w.ord, m.name, {_block('UPSTREAM_MODEL', 'm.name', 'm.path', 'w.depth', up)}
     from walked_up w join diag d on d.run_key = w.run_key and d.root_id = w.root_id join profiles m on m.run_key = w.run_key and m.id = w.node_id
   union all select run_key, root_id, 3000 + n, 'macro_' || cast(n as varchar), text from macro_blocks
   union all select run_key, root_id, 4000 + n, 'definition_' || cast(n as varchar), text from def_blocks),
 merged as (select run_key, root_id, key, min(seq) as seq, arg_max(text, seq) as text from sections group by 1, 2, 3),
 diagnostic as (select run_key, root_id, string_agg(text, chr(10) order by seq) as diagnostic from merged group by 1, 2),
-impact as (select w.run_key, w.root_id, string_agg({_block('DOWNSTREAM_MODEL', 'm.name', 'm.path', 'w.depth', 'm.text')}, chr(10) order by ord) as impact
+impact as (select w.run_key, w.root_id, string_agg({_block('DOWNSTREAM_MODEL', 'm.name', 'm.path', 'w.depth', down)}, chr(10) order by ord) as impact
   from walked_down w join profiles m on m.run_key = w.run_key and m.id = w.node_id group by 1, 2),
 contexts as (select c.run_key, c.file, '<PRIMARY_ERROR_MODEL path="' || primary_file || '">' || chr(10) || 'SOURCE OF ' || primary_file || ':' || chr(10) || text || chr(10) ||
   'FILE DIFF:' || chr(10) || 'NO_DIFF' || chr(10) || coalesce(compiled, '') || chr(10) || '</PRIMARY_ERROR_MODEL>' || chr(10) || chr(10) ||
@@ -279,8 +286,38 @@ contexts as (select c.run_key, c.file, '<PRIMARY_ERROR_MODEL path="' || primary_
   left join compiled z on z.run_key = c.run_key)"""
 
 
-def contexts(i: Inputs, provider: str = "") -> DataFrame:
-    return pipeline.failure_contexts(i.v_log, ledger(i), blamed(i), project(i), provider)
+WHOLE = f"{_HEAD},{macro_sql('diag')},{definition_sql('diag')},{COMPILED},{_assembled('m.text', 'm.text', 'm.text')}"
+
+
+def _focus(kind: str, run: str, root: str, node: str) -> str:
+    return f"coalesce((select z.focus from focused z where z.doc_key = '{kind}|' || {run} || '|' || {root} || '|' || {node}), '')"
+
+
+def _shrunk_sql() -> str:
+    """The same with every text cut to what the root's signals point at, over the long files."""
+    picks, blocks = macro_sql("diag").split("macro_blocks as (")
+    blocks = "macro_blocks as (" + blocks.replace("coalesce(f.text, '')", _focus("macro", "t.run_key", "t.root_id", "t.macro_id"))
+    lines = _SIGNAL_LINES.replace("q.signals", "r.signals")
+    sql = f"""{_HEAD},{picks}
+diag_sig as (select d.run_key, d.root_id, coalesce(s.signals, []) as signals from diag d left join rsig s on s.run_key = d.run_key and s.root_id = d.root_id),
+shown as (
+  select w.kind, w.run_key, w.root_id, w.node_id as id, m.text, case when w.depth > 1 then p.symbols else s.signals end as signals
+    from (select 'up' as kind, run_key, root_id, node_id, depth, parent_id from walked_up union all select 'down', run_key, root_id, node_id, depth, parent_id from walked_down) w
+    join profiles m on m.run_key = w.run_key and m.id = w.node_id left join profiles p on p.run_key = w.run_key and p.id = w.parent_id
+    left join rsig s on s.run_key = w.run_key and s.root_id = w.root_id
+  union select 'test', d.run_key, d.root_id, t.model_id, m.text, d.signals from diag_sig d join case_tests c on c.run_key = d.run_key
+    join tested t on t.run_key = c.run_key and t.id = c.test_id join profiles m on m.run_key = t.run_key and m.id = t.model_id
+  union select 'macro', t.run_key, t.root_id, t.macro_id, f.text, {D.macro_calls('p.text')} from mtop t join v_macros m on m.run_key = t.run_key and m.id = t.macro_id
+    join v_files f on f.run_key = m.run_key and f.path = m.path join profiles p on p.run_key = t.run_key and p.id = t.root_id),
+fdoc as (select kind || '|' || run_key || '|' || root_id || '|' || id as doc_key, any_value(text) as text, any_value(coalesce(signals, [])) as signals from shown group by 1),
+{focus_sql("fdoc").strip()},
+{blocks.strip()},{definition_sql('diag_sig', lines, lines)},{COMPILED},
+{_assembled(_focus('test', 'd.run_key', 'd.root_id', 't.model_id'), *(_focus(kind, 'w.run_key', 'w.root_id', 'w.node_id') for kind in ('up', 'down')))}"""
+    return re.sub(r"\bv_files\b", "v_wide", sql)
+
+
+def contexts(i: Inputs) -> DataFrame:
+    return pipeline.failure_contexts(i.v_log, ledger(i), blamed(i), project(i))
 
 
 @query("file_contexts", ctes=WHOLE, sql="select run_key, file, context from contexts")
@@ -288,6 +325,13 @@ def file_contexts(i: Inputs) -> DataFrame:
     return contexts(i).select("run_key", "file", "context")
 
 
+@query("shrunk_contexts", ctes=_shrunk_sql(), sql="select run_key, file, context from contexts")
+def shrunk_contexts(i: Inputs) -> DataFrame:
+    """Whole contexts for a local model, of projects whose SQL files are longer than it may see."""
+    wide = replace(project(i), files=i.v_wide)
+    return pipeline.failure_contexts(i.v_log, ledger(i), blamed(i), wide, SHRINKING_PROVIDER).select("run_key", "file", "context")
+
+
 _JOIN_LINE = r"(?s)^.*\n(join [^\n]*)$"
 _DIFFED = WHOLE.replace(
     "'FILE DIFF:' || chr(10) || 'NO_DIFF' ||",
