@@ -194,6 +194,18 @@ def stream_run_ids(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(f"{base}/ids")
 
 
+@query("stream_ledger", ctes=IDS, sql="select run_key, run_id, count(*) as n from (select distinct run_key, run_id from ids) d group by 1, 2")
+def stream_ledger(i: Inputs) -> DataFrame:
+    """The same log lands on three days far apart: the state forgets its ids in between, the ledger holds each once."""
+    base = work_dir(i.spark, "stream")
+    landing, arrivals = f"{base}/landing", f"{base}/arrivals"
+    for upload, day in enumerate(("2024-01-01", "2024-03-01", "2024-06-01")):
+        ingest.land_upload(i.v_log, F.lit(upload), F.lit(day).cast("date"), landing, arrivals)
+        ids = ingest.recent_run_ids(ingest.landed_lines(i.spark, landing), "7 days")
+        ingest.keep_ledger(ids, f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
+    return logs.read_ledger(i.spark, f"{base}/ledger").groupBy("run_key", "run_id").agg(F.count("*").alias("n"))
+
+
 @query(
     "stream_mentions",
     ctes=f"{CLEAN}, whole as (select run_key, line as t from clean), found as ({mentions_sql('whole', 'run_key')})",

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import stage
 from ..sources import commits
-from ..sources.logs import is_separator, separator_id
+from ..sources.logs import append_ledger, is_separator, read_ledger, separator_id
 
 LINES = "run_key string, upload_id long, line_no long, line string, part string, day date"
 ARRIVALS = "run_key string, upload_id long, day date, part string"
@@ -73,8 +73,8 @@ def landed_lines(spark: SparkSession, landing: str, files_per_batch: int = 1000)
 def distinct_run_ids(lines: DataFrame) -> DataFrame:
     """Each (run_key, run_id) once over the life of the stream, kept in the state store.
 
-    The state grows with the ids, so it belongs on disk (``session.RECOMMENDED``).  A job that keeps a ledger
-    needs no state: ``logs.new_run_ids`` in ``each_batch`` gives the same ids.
+    The state grows with the ids, so it belongs on disk (``session.RECOMMENDED``); ``recent_run_ids`` with
+    ``keep_ledger`` holds only the newest ones there.
     """
     return (
         lines.filter(is_separator(F.col("line")))
@@ -83,6 +83,32 @@ def distinct_run_ids(lines: DataFrame) -> DataFrame:
     )
 
 
+def recent_run_ids(lines: DataFrame, horizon: str) -> DataFrame:
+    """(run_key, run_id, line_no, at): ids that no line of the last ``horizon`` (by upload day) had, from ``landed_lines``.
+
+    Ids leave the state once the watermark has passed their day by ``horizon``.  An id that comes again after that is
+    given again, which ``keep_ledger`` refuses.
+    """
+    dated = lines.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", horizon)
+    return (
+        dated.filter(is_separator(F.col("line")))
+        .select("run_key", separator_id(F.col("line")).alias("run_id"), "line_no", "at")
+        .dropDuplicatesWithinWatermark(["run_key", "run_id"])
+    )
+
+
+def keep_ledger(ids: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of ids to the ledger, each once over the ledger's life; a batch that is run again appends nothing twice."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = batch.groupBy("run_key", "run_id").agg(F.max("line_no").alias("line_no"))
+        if batch_id:
+            found = found.join(read_ledger(batch.sparkSession, ledger).filter(F.col("seq.batch") < batch_id).select("run_key", "run_id"), ["run_key", "run_id"], "left_anti")
+        append_ledger(found, ledger, batch_id)
+
+    return ids.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_available(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Append everything available to a parquet sink, exactly once."""
     return (

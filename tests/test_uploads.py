@@ -132,3 +132,23 @@ def test_a_batch_that_fails_half_way_is_run_again(spark, place, tmp_path):
     assert results(spark, sink, "errors") == [("a", 1, 0)]  # the batch is not done, so its rows do not count
     run(spark, place, sink)
     assert results(spark, sink, "errors") == [("a", 2, 1)]
+
+
+def test_ids_leave_the_state_and_stay_unique_in_the_ledger(spark, place, tmp_path):
+    bar, ledger, states = "=" * 30, str(tmp_path / "ledger"), []
+
+    def run_day(upload, date, *names):
+        lines = lines_of(spark, ("r", [f"{bar}|{n}|{bar}" for n in names]))
+        ingest.land_upload(lines, F.lit(upload), F.lit(date).cast("date"), *place)
+        stream = ingest.keep_ledger(ingest.recent_run_ids(ingest.landed_lines(spark, place[0]), "7 days"), ledger, str(tmp_path / "checkpoint"))
+        stream.awaitTermination()
+        states.append(stream.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    run_day(1, "2024-01-01", *(f"old{n}" for n in range(50)))
+    run_day(2, "2024-01-03", "old7", "a")  # within the horizon: known from the state
+    run_day(3, "2024-03-01", "b")
+    run_day(4, "2024-03-02", "c")
+    run_day(5, "2024-03-03", "old7", "old8", "d")  # forgotten by the state, refused by the ledger
+    assert max(states) >= 51 and states[-1] < 10
+    ids = [r["run_id"] for r in logs.read_ledger(spark, ledger).collect()]
+    assert sorted(ids) == sorted([f"old{n}" for n in range(50)] + ["a", "b", "c", "d"])
