@@ -52,7 +52,8 @@ class Archive:
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+    """The file system of a path as Spark names it, and the path there."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "/", path)))
 
 
 def payload_digest(payload: bytes) -> str:
@@ -223,8 +224,13 @@ def _row(head: dict[str, str], block: bytes) -> dict:
 _RECORD_SCHEMA = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for c, k in (x.split() for x in RECORD.split(", "))])
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of every bundle; frames are dealt out one by one."""
+def _tasks(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Tasks for rows that are small themselves but stand for much work: all cores are used, and no task has too many."""
+    return max(1, min(rows, 2 * spark.sparkContext.defaultParallelism), rows // per_task)
+
+
+def read_archives(spark: SparkSession, folder: str, frames_per_task: int = 64) -> DataFrame:
+    """Every record of every bundle; frames are dealt out one by one, by their counted number."""
 
     def run(batches):
         for batch in batches:
@@ -239,7 +245,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append(_row(head, block))
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_SCHEMA)
 
-    return frames(spark, folder).repartition(F.col("bundle"), F.col("frame")).mapInArrow(run, RECORD)
+    listed = stage(frames(spark, folder), "frames")
+    return listed.repartition(_tasks(spark, listed.count(), frames_per_task), "bundle", "frame").mapInArrow(run, RECORD)
 
 
 def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -247,7 +254,8 @@ def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     places = frames(spark, folder).withColumnRenamed("bundle", "path").withColumn("bundle", name)
     rows = wanted.select("bundle", "frame", "offset").join(places, ["bundle", "frame"])
-    rows = rows.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    rows = stage(rows, "wanted")
+    rows = rows.repartition(_tasks(spark, rows.count(), 4096), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
 
     def run(batches):
         held, plain = None, b""

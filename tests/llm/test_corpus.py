@@ -211,6 +211,17 @@ def test_archives(spark, sf):
     check_archive(QUERIES["op3_warc"](spark, sf), rows)
 
 
+def test_frames_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", f"{k} " * 400) for k in range(200)], "page_id long, url string, html string")
+    folder = work_dir(spark, "test-warc")
+    warc.write_archives(pages, folder, warc.Archive(frame_bytes=8000))
+    assert warc.frames(spark, folder).count() >= 16
+    read = warc.read_archives(spark, folder)
+    assert read.select(F.spark_partition_id().alias("task")).distinct().count() >= 4
+    assert read.count() == 200
+    assert warc._tasks(spark, 10**6, 64) == 10**6 // 64 and warc._tasks(spark, 0, 64) == 1
+
+
 def test_lookup_by_record_and_repeated_rows(spark):
     pages = spark.createDataFrame([(k, f"u{k}", "p" * k) for k in range(60)] + [(7, "v", "p" * 7), (None, "n", "n"), (None, "m", "n")], "page_id long, url string, html string")
     folder = work_dir(spark, "test-warc")
