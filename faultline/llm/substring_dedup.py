@@ -204,7 +204,7 @@ def smallest_ids(strings: list[bytes], low: np.ndarray, anchor: np.ndarray, p: R
     owner = np.repeat(np.arange(len(strings)), size)
     position = np.arange(len(data))
     windows = np.flatnonzero(position + length <= at[1:][owner])
-    hashes = W.word_hashes(data, windows, windows + length) if len(windows) else np.zeros(0, np.uint64)
+    hashes = W.window_hashes(data, windows, length)
     _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     maybe = counts[inverse] > 1
     least = low[owner[windows]].copy()

@@ -36,6 +36,9 @@ def constants(count: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) | np.uint64(1)
 
 
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its texts; null is the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -118,6 +121,20 @@ def _chained(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarr
     return total
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of byte windows of one short length, from one running sum over all bytes.
+
+    A sieve for windows that may overlap: equal windows have equal hashes, and callers compare bytes.
+    """
+    powers = np.full(len(data) + 1, _BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * powers[:-1], out=sums[1:])
+    # each window's sum is brought to the power of the last place
+    return mix((sums[starts + length] - sums[starts]) * powers[len(data) - starts])
+
+
 def ngram_hashes(words: np.ndarray, first: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's runs of ``n`` words, and for each text the index of its first run.
 
