@@ -128,3 +128,26 @@ def test_one_odd_field_leaves_the_rest_of_a_manifest(spark):
     (row,) = manifest.nodes(manifest.parse_manifests(raw)).collect()
     assert (row["run_key"], row["id"], row["alias"], row["test_kind"]) == ("a", "x", "al", "t")
     assert "ns_1" in row["metadata"]
+
+
+def test_a_run_that_names_very_many_files_gives_each_root_its_first_ones(spark):
+    """Forty yaml files in log order; some are blank, and each root leaves its own path out."""
+    from faultline.operators.context import definition_sections
+
+    names = [f"models/y{k}.yml" for k in range(40)]
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    lines = rows([("r", k, f"see {n} there") for k, n in enumerate(names)], "run_key string, line_no long, line string")
+    files = rows([("r", n, "" if k == 1 else "  \n" if k == 2 else f"models: {k}") for k, n in enumerate(names)], "run_key string, path string, text string")
+    nodes = rows([("r", f"n{k}", f"models/y{k}.yml" if k < 6 else f"models/m{k}.sql") for k in range(200)], "run_key string, id string, path string")
+    roots = nodes.select("run_key", F.col("id").alias("root_id"))
+    parts = roots.withColumn("signals", F.array(F.lit("zzz")))
+    deps = rows([], "run_key string, id string, pos int, dep_id string")
+    sources = rows([], "run_key string, id string, name string, path string")
+    got = {}
+    for r in definition_sections(roots, lines, parts, nodes, deps, sources, files).orderBy("root_id", "seq").collect():
+        got.setdefault(r["root_id"], []).append(r["text"].split('"')[1])
+    usable = [n for k, n in enumerate(names) if k != 1]  # without text; a blank one is shown as it is
+    for k in range(200):
+        assert got[f"n{k}"] == [n for n in usable if n != f"models/y{k}.yml"][:3], k
+    shrunk = definition_sections(roots, lines, parts, nodes, deps, sources, files, shrink=True).filter("root_id = 'n100'").orderBy("seq").collect()
+    assert [r["text"].split('"')[1] for r in shrunk] == [names[0], names[3], names[4]]
