@@ -25,18 +25,27 @@ DECONTAMINATE = rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LETTERS}') as w from documents),
 b as (select item_id, regexp_extract_all({_LOWER.format('text')}, '{_LETTERS}') as w from benchmark where text is not null),
 windows as (
-  select distinct item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda i: array_to_string(w[i:i + 12], ' '))) as win
-  from b where len(w) > 0),
+  select item_id, n, p, array_to_string(w[p:p + n - 1], ' ') as win
+  from (select distinct item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(2, len(w) - 11))) as p from b where len(w) > 0) s),
 places as (
   select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from windows) s where len(w) >= n) p),
-hits as (select doc_id, i, p.n, item_id from places p join windows x on x.n = p.n and x.win = p.win),
+hits as (select doc_id, i, q.n, item_id, p from places q join windows x on x.n = q.n and x.win = q.win),
+runs as (select *, i - row_number() over (partition by doc_id, item_id, i - p order by i) as run from hits),
+found as (
+  select doc_id, cast(item_id as varchar) as item, min(p) - 1 as item_word, min(i) - 1 as doc_word, max(i) - min(i) + max(n) as n_words
+  from runs group by doc_id, item_id, i - p, run),
+matched as (
+  select doc_id, count(*) as n_matches, max(n_words) as longest_match,
+    string_agg(item || ':' || item_word || ':' || doc_word || ':' || n_words, ',' order by doc_word, item, item_word, n_words) as matches
+  from found group by 1),
 covered as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + n)) as spot from hits) c group by 1),
 named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
   from (select distinct doc_id, cast(item_id as varchar) as item from hits) h group by 1)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join covered c on c.doc_id = d.doc_id left join named m on m.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+  coalesce(n_matches, 0) as n_matches, cast(coalesce(longest_match, 0) as bigint) as longest_match, coalesce(matches, '') as matches
+from d left join covered c on c.doc_id = d.doc_id left join named m on m.doc_id = d.doc_id left join matched l on l.doc_id = d.doc_id
 """
 
 _CONTROL = r"</?s>|\[INST!?\]|\[/INST\]"

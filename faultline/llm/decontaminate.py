@@ -6,9 +6,10 @@ benchmark suffix is searched by bisection; the suffixes between both bounds are
 matches.  Matches on one diagonal merge, so the longest match at each place is known with its
 location.  A window is ``window`` consecutive item words; an item of fewer words is one window.
 
-The benchmark is searched in blocks of at most ``BLOCK_BYTES`` of text, so each broadcast has a
-proven bound; the work in a shard does not depend on how its documents are distributed, and no
-document is shuffled.  Defined results: null has no words and no hits; items without id or text are ignored.
+The benchmark is searched in blocks that hold at most twice ``BLOCK_BYTES`` of text, or one item that is longer,
+so each broadcast has a counted bound; the work in a shard does not depend on how its documents are distributed, and
+no document is shuffled.  Defined results: null has no words and no hits; items without id or text are ignored, and
+of items equal in id and text one counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.session import stage
@@ -197,19 +198,48 @@ def scan(docs: DataFrame, block: Windows, window: int = 13, matches: bool = Fals
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, _FINAL if final else SCHEMA)
 
 
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    """How many blocks the items are dealt into, so that none holds more than twice ``block_bytes`` or one long item."""
+    size = F.octet_length("text")
+    total, longest_item = items.agg(F.sum(size), F.max(size)).first()
+    blocks = -(-int(total or 0) // block_bytes) or 1
+    while blocks > 1:
+        sizes = items.groupBy(_block(blocks)).agg(F.sum(size).alias("size"), F.count("*").alias("rows"))
+        if sizes.filter((F.col("size") > max(2 * block_bytes, longest_item)) & (F.col("rows") > 1)).isEmpty():
+            break
+        blocks *= 2
+    return blocks
+
+
+def shown_matches(found: DataFrame) -> DataFrame:
+    """``matches`` as text: item:item_word:doc_word:n_words, by place in the document, joined by commas; and their number.
+
+    ``longest_match`` is the number of words of the longest, 0 without any.
+    """
+    order = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"], m["item_id"], m["item_word"], m["n_words"])))
+    text = F.array_join(F.transform(order, lambda m: F.concat_ws(":", m["item_id"], m["item_word"], m["doc_word"], m["n_words"])), ",")
+    return found.select(
+        *[c for c in found.columns if c != "matches"], F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(F.col("matches.n_words")), F.lit(0)).cast("long").alias("longest_match"), text.alias("matches"),
+    )
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, matches: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the longest matches) of every row.
 
     A row is contaminated if some word is hit and 20 * n_hit >= n_words.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-int(total) // block_bytes) or 1
+    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    blocks = _blocks(items, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     parts = []
     for k in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        mine = items.filter(_block(blocks) == k) if blocks > 1 else items
         part = scan(rows, windows_of([tuple(r) for r in mine.collect()], window), window, matches, blocks == 1)
         parts.append(stage(part, "hits") if blocks > 1 else part)
     if blocks == 1:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import checks, toxicity
 from .chat_format import digests, format_chats
-from .decontaminate import decontaminate
+from .decontaminate import decontaminate, shown_matches
 from .merkle import manifest
 from .mixing import mix
 from .near_dedup import NearDup, near_groups
@@ -45,7 +45,8 @@ def op7_quality_classifier(spark, sf_dir):
 
 @query("op8_decontaminate", checks.DECONTAMINATE)
 def op8_decontaminate(spark, sf_dir):
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), matches=True)
+    return shown_matches(found)
 
 
 @query("op2_shard")

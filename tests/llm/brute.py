@@ -87,6 +87,27 @@ def contamination(docs, items, window=13):
     return out
 
 
+def verbatim(docs, items, window=13):
+    """doc rows -> sorted (doc_word, item, item_word, n_words) of all matches that no word on either side extends."""
+    out = []
+    for _, text in docs:
+        words, found = LETTERS.findall((text or "").translate(LOWER)), set()
+        for name, item in set(items):
+            own = LETTERS.findall((item or "").translate(LOWER))
+            least = min(window, len(own))
+            for a in range(len(words) if own else 0):
+                for b in range(len(own)):
+                    if words[a] != own[b] or (a and b and words[a - 1] == own[b - 1]):
+                        continue
+                    n = 0
+                    while a + n < len(words) and b + n < len(own) and words[a + n] == own[b + n]:
+                        n += 1
+                    if n >= least:
+                        found.add((a, str(name), b, n))
+        out.append(sorted(found))
+    return out
+
+
 def records(pages):
     """page_id -> (bytes, digest, type, refers_to) for rows of distinct ids."""
     groups = defaultdict(list)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultline.llm import quality_classifier as qc
 from faultline.llm import quality_rules as qr
 from faultline.llm import words as W
-from faultline.llm.decontaminate import decontaminate
+from faultline.llm.decontaminate import decontaminate, shown_matches
 from faultline.llm.registry import QUERIES
 from faultline.llm.token_counts import token_counts
 
@@ -161,6 +161,34 @@ def test_longest_matches_have_their_places(spark):
     assert {tuple(m) for m in row.matches} == {("1", 5, 2, 20), ("1", 20, 23, 13)}
 
 
+def test_longest_matches_equal_brute_force(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(k, say(rng.choice((2, 13, 16, 40)))) for k in range(12)] + [(12, "b"), (13, None), (14, "")]
+    items.append(items[0])  # an item given twice counts once
+    docs = [(k, say(rng.randrange(60)) + " " + (items[k % 12][1] or "")) for k in range(40)]
+    docs += [(40, None), (41, "a " * 300)]
+    items.append((15, "a " * 20))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = brute.verbatim(docs, items)
+    for size in (1 << 20, 60):
+        found = rows_of(shown_matches(decontaminate(rows, bench, block_bytes=size, matches=True)))
+        for (d, _), best in zip(docs, wanted, strict=True):
+            assert found[d].matches == ",".join(f"{item}:{b}:{a}:{n}" for a, item, b, n in best)
+            assert (found[d].n_matches, found[d].longest_match) == (len(best), max((m[3] for m in best), default=0))
+
+
+def test_blocks_of_a_benchmark_are_bounded(spark):
+    from faultline.llm.decontaminate import _block, _blocks
+
+    items = spark.createDataFrame([(k, "x" * (k % 90)) for k in range(500)] + [(500, "y" * 900)], "item_id long, text string")
+    blocks = _blocks(items, 400)
+    sizes = items.groupBy(_block(blocks)).agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    assert blocks > 1 and max(r["size"] for r in sizes) <= 900
+    assert _blocks(items.limit(0), 400) == 1
+
+
 def test_word_hashes_follow_the_words():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab \t\né") for _ in range(rng.randrange(30))) for _ in range(200)]
