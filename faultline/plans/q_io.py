@@ -79,15 +79,28 @@ def _manifests(i: Inputs) -> DataFrame:
 _FOLDER = "run_key || '_' || cast(cast(floor(pos / 1000) as bigint) as varchar)"
 
 
-@query(
-    "manifest_nodes",
-    sql=f"""select {_FOLDER} as run_key, row_number() over (partition by {_FOLDER} order by pos) - 1 as pos, id, resource_type, name,
+_NODES = f"""select {_FOLDER} as run_key, row_number() over (partition by {_FOLDER} order by pos) - 1 as pos, id, resource_type, name,
         coalesce(alias, '') as alias, path, coalesce(column_name, '') as column_name, coalesce(test_kind, '') as test_kind,
-        case when resource_type = 'test' then 'column_name=' || column_name || ';values=["a_' || column_name || '", 0]' end as kwargs from v_nodes""",
-)
-def manifest_nodes(i: Inputs) -> DataFrame:
+        case when resource_type = 'test' then 'column_name=' || column_name || ';values=["a_' || column_name || '", 0]' end as kwargs from v_nodes"""
+
+
+def _node_rows(manifests: DataFrame) -> DataFrame:
     shown = F.array_join(F.transform("kwargs", lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return manifest.nodes(manifest.parse_manifests(_manifests(i))).withColumn("kwargs", shown).drop("metadata")
+    return manifest.nodes(manifests).withColumn("kwargs", shown).drop("metadata")
+
+
+@query("manifest_nodes", sql=_NODES)
+def manifest_nodes(i: Inputs) -> DataFrame:
+    return _node_rows(manifest.parse_manifests(_manifests(i)))
+
+
+@query("manifest_slices", sql=_NODES)
+def manifest_slices(i: Inputs) -> DataFrame:
+    """The same nodes by way of files that are read entry by entry, whatever their size."""
+    path = work_dir(i.spark, "manifest-slices")
+    made = _manifests(i).select("run_key", "json")
+    made.repartition("run_key").write.partitionBy("run_key").text(path)
+    return _node_rows(manifest.read_manifests(i.spark, path, r"run_key=([^/]+)/[^/]+\z", "*.txt", value_bytes=0))
 
 
 def _written_manifests(i: Inputs) -> str:
