@@ -6,9 +6,11 @@ corrected for chance agreement; links are then confirmed on the full sets.
 
 How hot groups are kept linear: equal sets are one node before any candidate is made.  In each
 round a bucket names one pivot, every member meets the best pivot of its buckets only, and linked
-members become one component.  What is left are members that no pivot links to their bucket.  Only
-these are compared with all members around them, in blocks of bounded size that are dealt out evenly and return
-spanning edges, never pairs.
+members become one component.  What is left are members that no pivot links to their bucket.  Their packed bits are
+compared in blocks where a bucket has few of them; a bucket of many, as of pages of one template, counts as close.  Close
+members of different components then meet by rare shingles only: sorted by frequency, a set and a smaller one that
+reaches the threshold with it share a shingle at their beginnings.  Those that a shared shingle ties together are
+compared on full sets, in blocks of bounded size that are dealt out evenly and return spanning edges, never pairs.
 
 Defined results: a text without words (or null) has no shingles and is linked with nothing; a
 null id has a null component and is kept; rows that repeat an id share what any of them links.
@@ -44,6 +46,7 @@ class NearDup:
     star_rounds: int = 2
     block_rows: int = 512
     block_shingles: int = 1 << 18
+    few_rows: int = 512  # unlinked members up to which a bucket is compared by bits
     seed: int = 17
 
 
@@ -232,11 +235,13 @@ def _linked_sets(rows: DataFrame, p: NearDup, part, least: dict) -> tuple[DataFr
         edges = found if edges is None else edges.union(found)
         edges = stage(edges, "links")
         labels = _labels(signs, edges)
-    loose = _blocks(_grouped(members, labels), signs.select("rep", F.col("packed").alias("load"), F.lit(0).alias("weight")), p, _close_by_bits(p))
+    loose = _loose(members.join(labels, "rep").select("key", "rep", "component"), signs, p)
     around = components(edges.union(stage(loose, "loose")))
     clusters = labels.join(around.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep")
+    several = clusters.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    tied = _tied(stage(clusters.join(several, "key").select("key", "rep", "component"), "clusters"), sets, p)
     weighed = sets.select("rep", F.col("shingles").alias("load"), F.expr("length(shingles) div 8").alias("weight"))
-    rest = _blocks(clusters.select("key", "rep", "component"), weighed, p, _close_by_sets(p))
+    rest = _blocks(tied, weighed, p, _close_by_sets(p))
     return marks, reps, edges.union(rest)
 
 
@@ -287,8 +292,54 @@ def _star_links(members, labels, signs, sets, p, turn) -> DataFrame:
     return both.filter(_linked(p)("shingles", "shingles_b")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
 
 
-def _grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "rep").select("key", "rep", "component")
+def _loose(groups: DataFrame, signs: DataFrame, p: NearDup) -> DataFrame:
+    """Spanning edges (a, b) that tie together at least all members of a bucket whose bits are close.
+
+    Where more than ``few_rows`` members are outside the bucket's largest component, all of the bucket are tied.
+    """
+    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min("rep").alias("hub"))
+    sizes = sizes.groupBy("key").agg((F.sum("rows") - F.max("rows")).alias("rest"), F.min("hub").alias("hub"))
+    many = stage(sizes.filter(F.col("rest") > p.few_rows).select("key", "hub"), "many")
+    few = sizes.filter((F.col("rest") > 0) & (F.col("rest") <= p.few_rows)).select("key")
+    loads = signs.select("rep", F.col("packed").alias("load"), F.lit(0).alias("weight"))
+    close = _blocks(groups.join(few, "key"), loads, p, _close_by_bits(p))
+    return close.union(groups.join(many, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+
+
+def _tied(clusters: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Clusters (key, rep, component) cut into groups that hold every pair of different components at the threshold.
+
+    Shingles are ordered by the number of sets that hold them.  Of two sets at the threshold with n <= m shingles, the
+    first ``n - 2 * percent * n / (100 + percent) + 1`` of the smaller and the first ``m - percent * m / 100 + 1`` of the
+    larger one share a shingle.  So members meet at a shingle only if it is among the first of one by the shorter bound.
+    """
+    def spelled(batches):
+        for batch in batches:
+            parts = _views(batch.column(1))
+            count = np.array([len(x) for x in parts], np.int64)
+            grams = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.int64)
+            columns = [np.repeat(batch.column(0).to_numpy(), count), np.repeat(count, count), grams]
+            for low in range(0, len(grams), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + (1 << 18)]) for c in columns], ["rep", "n", "gram"])
+
+    own = sets.join(clusters.select("rep"), "rep", "left_semi").select("rep", "shingles")
+    grams = stage(own.mapInArrow(spelled, "rep long, n long, gram long"), "grams")
+    common = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = grams.join(common, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).getField("gram").alias("grams"))
+    ceil = lambda top, under: F.expr(f"({top} * n + {under} - 1) div {under}")
+    lone = F.col("n") - F.size("grams")  # shingles of this set alone come first
+    longer = F.col("n") - ceil(p.percent, 100) + 1 - lone
+    shorter = F.col("n") - ceil(2 * p.percent, 100 + p.percent) + 1 - lone
+    shared = shared.select("rep", "grams", longer.cast("int").alias("longer"), shorter.cast("int").alias("shorter")).filter("longer > 0")
+    posts = shared.select("rep", "shorter", F.posexplode(F.expr("slice(grams, 1, longer)")).alias("at", "gram"))
+    posts = posts.select("rep", "gram", (F.col("at") < F.col("shorter")).alias("first"))
+    posts = stage(posts.join(clusters, "rep").select("key", "gram", "rep", "component", "first"), "posts")
+    meets = posts.groupBy("key", "gram").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first"), F.min("rep").alias("hub")
+    )
+    ties = posts.join(meets.filter("low <> high and first").select("key", "gram", "hub"), ["key", "gram"])
+    groups = components(ties.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    return clusters.drop("key").join(groups.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep").select("key", "rep", "component")
 
 
 def _blocks(groups: DataFrame, loads: DataFrame, p: NearDup, close) -> DataFrame:

@@ -49,7 +49,8 @@ def test_hot_group_is_whole_across_blocks(spark):
             words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
         rows.append((d, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    check_near(near_groups(docs, NearDup(shingle_words=2, block_rows=16, star_rounds=1)), rows, 2)
+    for few in (512, 4):  # by bits, or all of a bucket
+        check_near(near_groups(docs, NearDup(shingle_words=2, block_rows=16, star_rounds=1, few_rows=few)), rows, 2)
 
 
 def test_null_and_repeated_ids(spark):
@@ -318,3 +319,42 @@ def test_apportionment_is_highest_quotients(spark):
         cells = spark.createDataFrame([(k, w * seats / total, seats) for k, w in enumerate(weights)], "name int, ideal double, seats long")
         found = {r.name: r.quota for r in mixing.apportion(cells, [], ["name"], "ideal", "seats", "quota").collect()}
         assert [found[k] for k in range(9)] == brute.sainte_lague(weights, seats)
+
+
+def test_pages_of_one_template_are_dealt_in_proportion(spark, monkeypatch):
+    """Texts at a similarity of 0.68 are no links; some are, at 0.8 and more."""
+    from faultline.llm import near_dedup
+
+    dealt = []
+
+    def counted(tasks, *rest):
+        tasks = tasks.cache()
+        dealt[-1] += tasks.count()
+        return plain(tasks, *rest)
+
+    plain = near_dedup.by_key
+    monkeypatch.setattr(near_dedup, "by_key", counted)
+    shell = " ".join(f"t{k}" for k in range(400))
+    for n in (600, 1200, 2400):
+        own = lambda k: " ".join(f"u{k}_{j}" for j in range(89))
+        rows = [(k, f"{shell} {own(k)}") for k in range(n)]
+        rows += [(n + k, f"{shell} {own(k)} x{k}") for k in range(5)] + [(n + 5, f"{shell} {own(0)} other words here")]
+        dealt.append(0)
+        found = near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), NearDup(few_rows=200))
+        linked = {r.doc_id: r.component_id for r in found.filter("not kept").collect()}
+        assert linked == {**{n + k: k for k in range(5)}, n + 5: 0}
+    assert dealt[2] <= 5 * dealt[0] + 100, dealt
+    assert dealt[2] < 4 * 2400, dealt
+
+
+def test_sets_around_the_threshold_meet_by_rare_shingles(spark):
+    """Random sets of many sizes that share much: links equal brute force though no bucket is compared by bits."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(150):
+        size = rng.randrange(14, 24)
+        rows.append((k, " ".join(w for w in words if rng.random() < size / 26)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for params in (NearDup(shingle_words=1, few_rows=0, star_rounds=1), NearDup(shingle_words=2, few_rows=2, block_rows=4)):
+        check_near(near_groups(docs, params), rows, params.shingle_words)
