@@ -87,3 +87,25 @@ def test_a_manifest_above_the_limit_of_a_parsed_value(spark, tmp_path):
     rows = {r["id"]: (r["pos"], r["name"]) for r in manifest.nodes(found).select("id", "pos", "name").collect()}
     assert rows == {f"model.{k}": (k, f"n{k}") for k in range(34_000)}
     assert manifest.deps(found).count() == 34_000
+
+
+def test_a_manifest_file_per_project_however_many_folders(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from faultline.plans import q_io
+
+    nodes = [("r1", 600 * n, f"model.{n}/x", "model", f"m{n}", None, f"models/m{n}.sql", None, None) for n in range(12)]
+    nodes += [("r1", 601, "test.1", "test", "t", None, "_schema.yml", "key", "unique"), ("r2", 7, "model.9", "model", "m", "a", "p.sql", None, None)]
+    columns = "run_key string, pos long, id string, resource_type string, name string, alias string, path string, column_name string, test_kind string"
+    made = SimpleNamespace(
+        spark=spark, v_nodes=spark.createDataFrame(nodes, columns),
+        v_deps=spark.createDataFrame([("r1", "test.1", 0, "model.1/x")], "run_key string, id string, pos int, dep_id string"),
+        v_macro_deps=spark.createDataFrame([], "run_key string, id string, pos int, macro_id string"),
+    )
+    monkeypatch.setattr(q_io, "work_dir", lambda spark, purpose: str(tmp_path / purpose))
+    rows = q_io.manifest_slices(made).select("run_key", "pos", "id").collect()
+    places = {}
+    for row in sorted(nodes, key=lambda row: row[1]):
+        places.setdefault(f"{row[0]}_{row[1] // 1000}", []).append(row[2])
+    assert sorted(map(tuple, rows)) == sorted((key, n, row) for key, ids in places.items() for n, row in enumerate(ids))
+    assert len(places) > 2 and len(list(tmp_path.glob("manifest-slices/run_key=*"))) == 2
