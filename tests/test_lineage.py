@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import lineage
+from faultline.operators import lineage, resolve
 from faultline.settings import LIMITS
 
 PROFILE = "run_key string, id string, pos int, name string, path string, text string, lowered string, symbols array<string>"
@@ -74,3 +74,31 @@ def test_hot_root_signals_are_split(spark):
     sizes = [len(r["signals"]) for r in parts.filter("root_id = 'a'").collect()]
     assert sum(sizes) == 1000 and len(sizes) > 10
     assert parts.filter("root_id = 'b'").count() == 1
+
+
+def _plan(spark, make):
+    """Executed plan of a frame made while nothing is broadcast by itself, and its rows."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = make()
+        return made._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, made.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_edges_are_shuffled_once(spark):
+    nodes = spark.createDataFrame([("r", "a", "model"), ("r", "b", "seed"), ("r", "t", "test"), (None, "a", "model")], "run_key string, id string, resource_type string")
+    deps = spark.createDataFrame([("r", "a", 3, "b"), ("r", "a", 1, "b"), ("r", "b", 0, "t"), ("r", "b", 0, None), (None, "a", 0, "a")], "run_key string, id string, pos int, dep_id string")
+    plan, rows = _plan(spark, lambda: lineage.upstream_edges(nodes, deps))
+    assert rows == [("r", "a", 1, "b")]
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_names_nobody_asks_for_are_not_shuffled(spark):
+    nodes = spark.createDataFrame([("r", n, "model", f"m_{n}", None, f"models/p_{n}.sql") for n in range(5)], "run_key string, pos long, resource_type string, name string, alias string, path string")
+    macros = spark.createDataFrame([], "run_key string, pos long, id string, name string, path string")
+    wanted = spark.createDataFrame([("r", "m_3"), ("r", "p_4"), ("s", "m_1"), (None, "m_2")], "run_key string, name string")
+    plan, rows = _plan(spark, lambda: resolve.name_index(nodes, macros, wanted))
+    assert rows == [("r", "m_3", "models/p_3.sql"), ("r", "p_4", "models/p_4.sql")]
+    assert "BroadcastHashJoin [xxhash64" in plan
