@@ -1,12 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Known toxic rows are the positives; any text, toxic or not, is unlabelled.  A linear classifier over the distinct
-words and word pairs of a text minimises the class-prior-corrected risk
+words, word pairs and word beginnings of a text minimises the class-prior-corrected risk
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
 with the logistic loss.  Where the part in the maximum falls below zero, a step goes up that part instead, so the
-classifier cannot push it down by learning the positives by heart.  The first fit has a lasso, which leaves the few
+classifier cannot push it down by learning the positives by heart.  Beginnings of words stand for their stem, so
+that a word is known in forms that the sample does not have.  The first fit has a lasso, which leaves the few
 words that tell; the second fits only these again, almost unshrunk.  Words are known by their whole 64-bit
 hash, not by a bucket, so long texts gather no collisions; a word counts once, so length alone changes no score.
 
@@ -43,6 +44,7 @@ class PosUnl:
     least_share: float = 0.01  # and the share of them
     lasso: float = 0.05  # of the first fit at least; copies among the positives make more rows no surer
     error: float = 1.0  # and this over the square root of the number of positives, their sampling error
+    stem: float = 1.5  # times that for word beginnings, so that a word is not learned a second time by its beginning
     again: float = 0.05  # share of that in the second fit
     steps: tuple[int, int] = (120, 200)
     rate: float = 0.4
@@ -52,24 +54,49 @@ class PosUnl:
     seed: int = 29
 
 
+BEGINNINGS = (4, 5, 6, 7)  # letters of a word that count as a feature of their own
+
 Model = tuple[np.ndarray, np.ndarray, float]  # sorted word hashes, their weights, and the bias
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and word pairs of each text and where each text's begin (one more at the end)."""
+    """Hashes of all words, word pairs and word beginnings of each text and where each text's begin (one more at the end)."""
     starts, ends, first = W.letters_bounds(data, bounds)
-    words = W.word_hashes(W.lowered(data), starts, ends)
-    pairs, at = W.ngram_hashes(words, first, 2, short=False)
-    words = W.mix(words + np.uint64(1))
-    n_words, n_pairs = np.diff(first), np.diff(at)
+    low = W.lowered(data)
+    words = W.word_hashes(low, starts, ends)
+    kinds = [W.ngram_hashes(words, first, 2, short=False), (W.mix(words + np.uint64(1)), first)]
+    kinds += [beginnings(low, starts, ends, first, n) for n in BEGINNINGS]
+    counts = [np.diff(at) for _, at in kinds]
     out_at = np.zeros(len(bounds), np.int64)
-    np.cumsum(n_words + n_pairs, out=out_at[1:])
+    np.cumsum(sum(counts), out=out_at[1:])
     out = np.empty(out_at[-1], np.uint64)
-    out[np.repeat(out_at[:-1] - first[:-1], n_words) + np.arange(len(words))] = words
-    out[np.repeat(out_at[:-1] + n_words - at[:-1], n_pairs) + np.arange(len(pairs))] = pairs
+    spot = out_at[:-1].copy()
+    for (hashes, at), n in zip(kinds, counts, strict=True):
+        out[np.repeat(spot - at[:-1], n) + np.arange(len(hashes))] = hashes
+        spot += n
     return out, out_at
 
 
+def beginnings(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``n`` letters of the longer words, and where each text's begin.
+
+    Words of one stem differ in their ends; a letter is a code point, so no stem ends inside one.
+    """
+    letters = np.flatnonzero((low & 0xC0) != 0x80)
+    cut = np.searchsorted(letters, starts) + n
+    cut = np.append(letters, len(low))[np.minimum(cut, len(letters))]
+    longer = cut < ends
+    at = np.append(0, np.cumsum(longer))[first]
+    return W.mix(W.word_hashes(low, starts[longer], cut[longer]) + np.uint64(n)), at
+
+
+def stems(texts: pa.Array) -> np.ndarray:
+    """Distinct hashes of all word beginnings."""
+    data, bounds = W.text_bytes(texts)
+    starts, ends, first = W.letters_bounds(data, bounds)
+    return np.unique(np.concatenate([beginnings(W.lowered(data), starts, ends, first, n)[0] for n in BEGINNINGS]))
+
+
 def distinct_features(texts: pa.Array) -> list[np.ndarray]:
     data, bounds = W.text_bytes(texts)
     out = []
@@ -114,7 +141,7 @@ class Rows:
         return np.bincount(self.at, direction[self.row], self.names)
 
 
-def descend(pos: Rows, unl: Rows, prior: float, steps: int, shrink: float, p: PosUnl) -> tuple[np.ndarray, float]:
+def descend(pos: Rows, unl: Rows, prior: float, steps: int, shrink: float | np.ndarray, p: PosUnl) -> tuple[np.ndarray, float]:
     """Weights and bias after steps with a rate of its own for each word, shrunk by the lasso."""
     weights, bias = np.zeros(pos.names), -2.0
     seen, seen_bias = np.full(pos.names, 1e-8), 1e-8
@@ -129,12 +156,13 @@ def descend(pos: Rows, unl: Rows, prior: float, steps: int, shrink: float, p: Po
     return weights, float(bias)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: PosUnl) -> Model:
-    """Select words with the lasso, then fit those again."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: PosUnl, dear: np.ndarray | None = None) -> Model:
+    """Select words with the lasso, which is harder on those in ``dear``, then fit those again."""
     names, held = np.unique(np.concatenate([*positive, np.zeros(0, np.uint64)]), return_counts=True)
     names = names[held >= max(p.least_rows, p.least_share * len(positive))]
     shrink = max(p.lasso, p.error / np.sqrt(len(positive)))
-    weights, _ = descend(Rows(positive, names), Rows(unlabelled, names), prior, p.steps[0], shrink, p)
+    each = shrink * np.where(np.isin(names, [] if dear is None else dear), p.stem, 1.0)
+    weights, _ = descend(Rows(positive, names), Rows(unlabelled, names), prior, p.steps[0], each, p)
     names = names[weights > 0]
     weights, bias = descend(Rows(positive, names), Rows(unlabelled, names), prior, p.steps[1], p.again * shrink, p)
     return names, weights, bias
@@ -182,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, p: PosUnl = PosUnl()) -> Model:
         known = table["positive"].to_numpy(zero_copy_only=False)
         texts = distinct_features(table["text"])
         pos, unl = texts[int((~known).sum()) :], texts[: int((~known).sum())]
-        names, weights, bias = fit(pos, unl, prior, p) if pos and unl else bare
+        names, weights, bias = fit(pos, unl, prior, p, stems(table["text"].filter(table["positive"]))) if pos and unl else bare
         return pa.table({"names": [names.tobytes()], "weights": [weights.tobytes()], "bias": [bias], "fitted": [bool(pos and unl)]})
 
     found = rows.groupBy("member").applyInArrow(run, "names binary, weights binary, bias double, fitted boolean").filter("fitted").collect()

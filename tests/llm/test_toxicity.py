@@ -134,3 +134,31 @@ def test_no_examples_repeated_ids_and_clashing_columns(spark, tables, model, emp
     marked = {r.doc_id: r.score for r in score(clash, train(clash, more.withColumn("text", F.lit("x")), SMALL)).collect()}
     assert sum((marked[d] >= 0.3) == (d % 8 == 0) for d in marked) >= 0.97 * len(marked)
     assert toxicity.train(docs.withColumn("text", F.lit(None).cast("string")), labels, SMALL)[2] < 0
+
+
+def test_word_beginnings_against_plain_python():
+    """Letters are code points: no stem ends inside one, and a word of no more letters has no beginning."""
+    import pyarrow as pa
+
+    texts = ["", "Áéíóúñ áéíó", "abcdefgh abcd", None, "x"]
+    data, bounds = W.text_bytes(pa.array(texts))
+    starts, ends, first = W.letters_bounds(data, bounds)
+    low = W.lowered(data)
+    found, at = toxicity.beginnings(low, starts, ends, first, 4)
+    assert np.diff(at).tolist() == [0, 1, 1, 0, 0]
+    alone = [toxicity.beginnings(W.lowered(d), *W.letters_bounds(d, b), 4)[0][0] for d, b in (W.text_bytes(pa.array([t])) for t in ("Áéíóx", "abcdyyy"))]
+    assert found.tolist() == [int(x) for x in alone]
+
+
+def test_stems_with_endings_not_seen(spark):
+    """Insults of one stem, hardly one of them twice: the words say nothing, their beginning does."""
+    rng, docs, labels = random.Random(5), [], []
+    for d in range(1200):
+        text = [f"w{rng.randrange(400)}" for _ in range(60)]
+        if d % 6 == 0:
+            text[rng.randrange(60)] = "grobian" + "".join(rng.choice("abcdefghij") for _ in range(5))
+        docs.append((d, " ".join(text)))
+        labels.append((d, int(d % 6 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = [r for r in score(docs, train(docs, labels, SMALL)).collect() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 6 == 0) for r in found) >= 0.97 * len(found)
