@@ -102,3 +102,17 @@ def test_names_nobody_asks_for_are_not_shuffled(spark):
     plan, rows = _plan(spark, lambda: resolve.name_index(nodes, macros, wanted))
     assert rows == [("r", "m_3", "models/p_3.sql"), ("r", "p_4", "models/p_4.sql")]
     assert "BroadcastHashJoin [xxhash64" in plan
+
+
+def test_nodes_are_cut_to_the_asked_before_a_shuffle(spark):
+    """Of many nodes a few are asked for: only these are dealt out, and keys that repeat or are null do no harm."""
+    rows = [("r", i, f"m.{i}", "model", f"n_{i}", None, f"models/n_{i}.sql") for i in range(50)] + [(None, 1, "m.x", "model", "n_1", None, None)]
+    nodes = spark.createDataFrame(rows * 2, "run_key string, pos int, id string, resource_type string, name string, alias string, path string")
+    wanted = spark.createDataFrame([("r", "models/n_3.sql"), ("r", "else/n_4.sql"), ("r", "none.sql"), (None, "n_1")], "run_key string, file string")
+    found = lineage.find_nodes(wanted, nodes)
+    assert "_asked" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.file, r.node_id) for r in found.collect()} == {("models/n_3.sql", "m.3"), ("else/n_4.sql", "m.4"), ("none.sql", None), ("n_1", None)}
+    raw = nodes.select("run_key", "id", "pos", F.lit("m.7").alias("child_id"))
+    roots = spark.createDataFrame([("r", "m.5")], "run_key string, root_id string")
+    edges = lineage.near_edges(roots, raw, lambda d: lineage.downstream_edges(nodes, d))
+    assert {(r.src, r.dst) for r in edges.collect()} == {("m.5", "m.7"), ("m.7", "m.7")}
