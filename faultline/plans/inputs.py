@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import stage
 
@@ -202,6 +203,19 @@ _STAGED = ("v_model", "v_nodes", "v_deps", "v_files", "v_child_map")
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_lag`` with its rows dealt out by project and folder once, for the distinct rows and for the window."""
+    rows = view(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), F.floor(F.col("l_partkey") / 500).cast("long").alias("folder")
+    )
+    models = rows.repartition("sk", "folder").distinct()
+    order = Window.partitionBy("sk", "folder").orderBy("pk")
+    return models.select("sk", "pk", *[F.lag("pk", n).over(order).alias(f"p{n}") for n in (1, 2, 4)])
+
+
+_BUILT = {"v_lag": _lag}  # views that are planned here, with the rows of their SELECT
+
+
 def _staged_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
@@ -220,10 +234,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _select(spark: SparkSession, sf_dir: str, name: str, staged: tuple[str, ...]) -> DataFrame:
-    ctes = with_clause(name, staged)
-    for table in (*TABLES, *staged):
+    ctes = with_clause(name, (*staged, *_BUILT))
+    for table in (*TABLES, *staged, *_BUILT):
         if re.search(rf"\bfrom {table}\b|\bjoin {table}\b", ctes):
-            view(spark, sf_dir, table).createOrReplaceTempView(table)
+            made = _BUILT[table](spark, sf_dir) if table in _BUILT else view(spark, sf_dir, table)
+            made.createOrReplaceTempView(table)
     return spark.sql(ctes + f" select * from {name}")
 
 

@@ -38,13 +38,18 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     gives the planner a true size.
     """
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_KEYS = 8_000_000  # of eight bytes each
 
 
+def at_most(rows: DataFrame, most: int) -> bool:
+    """Whether there are no more than ``most`` rows; stops counting there."""
+    return rows.limit(most + 1).count() <= most
+
+
 def sieve(rows: DataFrame, asked: DataFrame, keys: dict[str, str]) -> DataFrame:
     """``rows`` without most of those whose keys are not in ``asked``, before they are shuffled; an exact join must follow.
 
@@ -52,7 +57,7 @@ def sieve(rows: DataFrame, asked: DataFrame, keys: dict[str, str]) -> DataFrame:
     they are few enough; rows that only share a hash stay.
     """
     hashes = stage(asked.select(F.xxhash64(*keys.values()).alias("_asked")).distinct(), "asked")
-    if hashes.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+    if not at_most(hashes, BROADCAST_KEYS):
         return rows
     return rows.join(F.broadcast(hashes), F.xxhash64(*keys) == F.col("_asked"), "left_semi")
 
