@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from faultline.operators import resolve
 from faultline.plans import inputs
 from faultline.session import stage
 
@@ -46,3 +47,33 @@ def test_staged_tables_are_packed(spark):
     found = stage(spark.range(5), "packed")
     one = glob.glob(found.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "") + "/part-*.parquet")[0]
     assert pq.ParquetFile(one).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def brute(tests, files):
+    out = {}
+    for run, name in tests:
+        fits = [(-len(s), p) for r, p in files if r == run and run is not None and p.startswith("models/") and p.endswith(".sql")
+                for s in [p.rsplit("/", 1)[-1].removesuffix(".sql")] if s and f"_{s}_" in f"_{name}_"]
+        if name is not None and fits:
+            out[run, name] = min(fits)[1]
+    return out
+
+
+@pytest.mark.parametrize("share", [1, 3, 200_000])
+@pytest.mark.parametrize("names_to_stems", [1, 1_000_000])
+def test_names_travel_whole_and_find_the_longest_stem(spark, monkeypatch, share, names_to_stems):
+    monkeypatch.setattr(resolve, "SHARE_STEMS", share)
+    monkeypatch.setattr(resolve, "NAMES_TO_STEMS", names_to_stems)
+    rng = random.Random(share)
+    word = lambda n: "_".join(rng.choice("abc") for _ in range(n))
+    files = [(rng.choice(["r", "s", None]), f"models/{rng.choice(['x', 'y'])}/{word(rng.randrange(1, 5))}.sql") for _ in range(60)]
+    files += [("r", "models/.sql"), ("r", "macros/a.sql"), ("r", "models/a.yml"), ("s", None)]
+    tests = [(rng.choice(["r", "s", "t", None]), word(rng.randrange(1, 8))) for _ in range(40)] + [("r", None), ("r", ""), ("r", "a__b"), ("r", "a__b")]
+    found = resolve.infer_from_names(
+        spark.createDataFrame(tests, "run_key string, name string"), spark.createDataFrame(files, "run_key string, path string")
+    )
+    rows = found.collect()
+    got = {(r["run_key"], r["name"]): r["inferred_path"] for r in rows}
+    wanted = brute(tests, [(r, p) for r, p in files if p])
+    assert len(rows) == len(got) and got == wanted
+    assert "hashpartitioning(run_key" in plan(found) and "stem#" not in "".join(x.split("hashpartitioning(")[1] for x in plan(found).splitlines() if "Exchange hashpartitioning" in x)
