@@ -84,10 +84,15 @@ def error_signals(c: Column) -> Column:
     )
 
 
-def node_symbols(name: Column, path: Column, source: Column) -> Column:
-    """What a node defines or uses; its own name and file stem skip the stop words."""
+def source_symbols(source: Column) -> Column:
+    """What a source defines or uses."""
+    return union(refs(source), macro_calls(source), aliases(source), ctes(source))
+
+
+def node_symbols(name: Column, path: Column, used: Column) -> Column:
+    """What a node defines or uses, by its ``source_symbols``; its own name and file stem skip the stop words."""
     own = F.array(clean_symbol(T.blank_if_null(name)), clean_symbol(T.stem(T.blank_if_null(path))))
-    return union(own, refs(source), macro_calls(source), aliases(source), ctes(source))
+    return union(own, used)
 
 
 def union(first: Column, *rest: Column) -> Column:

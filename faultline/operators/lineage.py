@@ -25,19 +25,19 @@ def lineage_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("resource_type").isin(*P.LINEAGE_TYPES))
 
 
-def profiles(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def profiles(nodes: DataFrame, files: DataFrame, texts: bool = True) -> DataFrame:
     """(run_key, id, pos, name, path, text, lowered, symbols), one row per lineage node.
 
-    Symbols are extracted once per node, not once per comparison.
+    Symbols are extracted once per node, not once per comparison.  Without ``texts`` the columns text and lowered are
+    left out, and symbols are extracted where the files lie, so that no text is shuffled.
     """
     text = T.blank_if_null(F.col("text"))
-    return (
-        lineage_nodes(nodes)
-        .join(files.select("run_key", "path", "text"), ["run_key", "path"], "left")
-        .select(
-            "run_key", "id", "pos", "name", "path", text.alias("text"), F.lower(text).alias("lowered"),
-            S.node_symbols(F.col("name"), F.col("path"), text).alias("symbols"),
-        )
+    sources = files.select("run_key", "path", "text" if texts else S.source_symbols(text).alias("used"))
+    found = lineage_nodes(nodes).join(sources, ["run_key", "path"], "left")
+    used = S.source_symbols(text) if texts else F.coalesce("used", F.array().cast("array<string>"))
+    return found.select(
+        "run_key", "id", "pos", "name", "path", *([text.alias("text"), F.lower(text).alias("lowered")] if texts else []),
+        S.node_symbols(F.col("name"), F.col("path"), used).alias("symbols"),
     )
 
 

@@ -67,7 +67,8 @@ _WALK_COLUMNS = "select run_key, root_id, ord, depth, node_id, parent_id, cast(s
 
 @query("node_symbols", ctes=PROFILES, sql=f"select run_key, id, {D.joined('symbols')} as symbols from profiles")
 def node_symbols(i: Inputs) -> DataFrame:
-    return profiles(i).select("run_key", "id", F.array_join(F.array_sort("symbols"), ",").alias("symbols"))
+    found = lineage.profiles(i.v_nodes, i.v_files, texts=False)
+    return found.select("run_key", "id", F.array_join(F.array_sort("symbols"), ",").alias("symbols"))
 
 
 @query("upstream_edges", ctes=f"{PROFILES},{UP}", sql="select run_key, src, pos, dst from up_edges")

@@ -7,10 +7,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from faultline.operators import resolve
+from faultline.operators import lineage, resolve
 from faultline.plans import inputs
 from faultline.session import stage
 
+FILES = "run_key string, path string, text string"
+
 
 def plan(df):
     """The plan before it runs."""
@@ -49,6 +51,23 @@ def test_staged_tables_are_packed(spark):
     assert pq.ParquetFile(one).metadata.row_group(0).column(0).compression == "ZSTD"
 
 
+def test_symbols_without_texts_are_the_same_and_shuffle_no_text(spark):
+    nodes = spark.createDataFrame(
+        [("r", 1, "a", "model", "Orders", "models/a.sql"), ("r", 2, "b", "model", None, "models/b.sql"), ("r", 3, "c", "seed", "c", "models/none.sql"), (None, 4, "d", "model", "d", "models/a.sql")],
+        "run_key string, pos int, id string, resource_type string, name string, path string",
+    )
+    files = spark.createDataFrame(
+        [("r", "models/a.sql", "with x as (select {{ cents('y') }} as z from {{ ref('b') }})"), ("r", "models/a.sql", "select 1 as twice"), ("r", "models/b.sql", None), (None, "models/a.sql", "select 2 as w")],
+        FILES,
+    )
+    whole = lineage.profiles(nodes, files).drop("text", "lowered")
+    bare = lineage.profiles(nodes, files, texts=False)
+    assert bare.columns == whole.columns
+    assert sorted(map(str, bare.collect())) == sorted(map(str, whole.collect()))
+    sides = [line for line in plan(bare.select("id", "symbols").hint("merge")).splitlines() if "Exchange" in line]
+    assert not any("text#" in line for line in sides)
+
+
 def brute(tests, files):
     out = {}
     for run, name in tests:
