@@ -8,9 +8,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    sieve moves four bytes an anchor, not the text.
 3. A run of windows that name one anchor is a segment.  Segments travel to their anchor, equal ones
    once per Arrow batch with the smallest and largest id.
-4. There, windows that differing segments may share (by hash) are cut out, and a suffix array of the cut-out
-   strings, built by linear grouping, brings equal windows next to each other; neighbours that agree in
-   ``length`` bytes form a run, and the run's smallest id is the window's.
+4. There, windows that differing segments may share (by hash) are cut out, again from the differing cut-outs while that
+   leaves less, and a suffix array of what is left, built by linear grouping, brings equal windows next to each
+   other; neighbours that agree in ``length`` bytes form a run, and the run's smallest id is the window's.
 5. Each occurrence with a larger id than its window's is removed; ranges of a document are united.
 
 Texts are laid out once in buckets by row, so neither of the two later passes shuffles them.
@@ -195,7 +195,11 @@ def _occurrences(docs: DataFrame, buckets: int, p: Repeats) -> DataFrame:
 
 
 def smallest_ids(strings: list[bytes], low: np.ndarray, anchor: np.ndarray, p: Repeats) -> list[np.ndarray]:
-    """For each string, the smallest id of each of its windows, over all strings (sorted by anchor)."""
+    """For each string, the smallest id of each of its windows, over all strings (sorted by anchor).
+
+    Windows that several strings may share are cut out.  Equal cut-outs of one anchor are one, so the sieve is set to the
+    differing ones again, for as long as that leaves less; what it leaves over goes to suffix arrays.
+    """
     length = p.length
     size = np.array([len(s) for s in strings], np.int64)
     at = np.zeros(len(strings) + 1, np.int64)
@@ -225,7 +229,10 @@ def smallest_ids(strings: list[bytes], low: np.ndarray, anchor: np.ndarray, p: R
                 lows.append(int(low[s]))
             lows[j] = min(lows[j], int(low[s]))
             which[k] = j
-        found = _window_minima(list(cut), np.array(lows), p)
+        if 10 * sum(len(s) for _, s in cut) <= 9 * len(data):
+            found = smallest_ids([s for _, s in cut], np.array(lows), np.array([a for a, _ in cut]), p)
+        else:
+            found = _window_minima(list(cut), np.array(lows), p)
         spots = np.flatnonzero(maybe)
         for k, (x, y) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
             least[spots[x:y]] = np.minimum(least[spots[x:y]], found[which[k]])
