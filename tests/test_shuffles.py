@@ -55,7 +55,7 @@ def test_rows_of_a_manifest_are_shuffled_once(spark, tables):
 
 
 def test_staged_tables_are_packed(spark):
-    found = stage(spark.range(5), "packed")
+    found = stage(spark.range(0, 5, 1, 1), "packed")
     one = glob.glob(found.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "") + "/part-*.parquet")[0]
     assert pq.ParquetFile(one).metadata.row_group(0).column(0).compression == "ZSTD"
 
