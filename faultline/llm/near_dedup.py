@@ -221,7 +221,8 @@ def _linked_sets(rows: DataFrame, p: NearDup, part, least: dict) -> tuple[DataFr
     reps = stage(reps.withColumn("rep", F.monotonically_increasing_id()), "sets")
     keyed = reps.select("rep", F.explode("band_keys").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    members = stage(keyed.join(shared, "key"), "members")
+    # Spark takes an exploded row for as small as one of its 32 and would broadcast all of them
+    members = stage(keyed.hint("merge").join(shared, "key"), "members")
     signs = reps.join(members.select("rep").distinct(), "rep", "left_semi")
     signs = stage(signs.select("rep", "row_key", "n", "packed"), "signs")
     needed, signs = signs.select("row_key", "rep"), signs.drop("row_key")
@@ -325,7 +326,7 @@ def _tied(clusters: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     own = sets.join(clusters.select("rep"), "rep", "left_semi").select("rep", "shingles")
     grams = stage(own.mapInArrow(spelled, "rep long, n long, gram long"), "grams")
     common = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = grams.join(common, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).getField("gram").alias("grams"))
+    shared = grams.hint("merge").join(common, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).getField("gram").alias("grams"))
     ceil = lambda top, under: F.expr(f"({top} * n + {under} - 1) div {under}")
     lone = F.col("n") - F.size("grams")  # shingles of this set alone come first
     longer = F.col("n") - ceil(p.percent, 100) + 1 - lone
@@ -337,7 +338,7 @@ def _tied(clusters: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     meets = posts.groupBy("key", "gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first"), F.min("rep").alias("hub")
     )
-    ties = posts.join(meets.filter("low <> high and first").select("key", "gram", "hub"), ["key", "gram"])
+    ties = posts.hint("merge").join(meets.filter("low <> high and first").select("key", "gram", "hub"), ["key", "gram"])
     groups = components(ties.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     return clusters.drop("key").join(groups.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep").select("key", "rep", "component")
 

@@ -12,13 +12,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from faultline.llm import chat_format, mixing, sharding, warc
+from faultline.llm import chat_format, mixing, near_dedup, sharding, warc
 from faultline.llm.components import components
 from faultline.llm.near_dedup import NearDup, agreement, near_groups
 from faultline.llm.registry import QUERIES
 from faultline.llm.substring_dedup import Repeats, remove_repeats
 from faultline.llm.suffix_array import suffix_array
-from faultline.session import work_dir
+from faultline.session import stage, work_dir
 
 
 def check_near(df, rows, n):
@@ -40,6 +40,19 @@ def test_near_groups_on_documents(spark, sf):
     check_near(QUERIES["op1_near_dedup"](spark, sf), rows, 2)
 
 
+def test_exploded_rows_are_not_broadcast(odd_docs, odd_texts, monkeypatch):
+    """Spark sizes exploded rows too low, so the planner may not choose by that size."""
+    plans = {}
+
+    def noted(df, purpose):
+        plans.setdefault(purpose, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, purpose)
+
+    monkeypatch.setattr(near_dedup, "stage", noted)
+    check_near(near_groups(odd_docs, NearDup()), list(enumerate(odd_texts)), 5)
+    assert plans["members"] and not any("BroadcastExchange" in p for p in plans["members"])
+
+
 def test_hot_group_is_whole_across_blocks(spark):
     """Copies of one text that differ from it by up to a fifth: many members are linked to others only."""
     rng, base, rows = random.Random(2), [f"w{k}" for k in range(120)], []
