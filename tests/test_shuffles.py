@@ -6,11 +6,13 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators import lineage, resolve
 from faultline.plans import inputs, q_io
 from faultline.plans.registry import Inputs
-from faultline.session import stage
+from faultline import session
+from faultline.session import sieve, stage
 
 FILES = "run_key string, path string, text string"
 
@@ -54,6 +56,26 @@ def test_rows_of_a_manifest_are_shuffled_once(spark, tables):
         assert made.select("run_key").distinct().count() == made.count()
 
 
+@pytest.mark.parametrize("plain", [0, 100_000])
+def test_a_sieve_loses_no_asked_row(spark, monkeypatch, plain):
+    monkeypatch.setattr(session, "PLAIN_KEYS", plain)
+    rows = spark.createDataFrame([(n, f"p{n % 700}") for n in range(9000)] + [(None, "p1"), (1, None), (None, None)], "a long, b string")
+    asked = rows.filter("a is null or b is null or a % 3 = 0").withColumnsRenamed({"a": "x", "b": "y"})
+    kept = sieve(rows, asked.unionByName(asked), {"a": "x", "b": "y"})
+    got = sorted(map(str, kept.collect()))
+    wanted = [str(r) for r in rows.collect() if r["a"] is None or r["b"] is None or r["a"] % 3 == 0]
+    assert not set(wanted) - set(got) and len(got) == len(set(got)) and len(wanted) <= len(got) < 4500
+    assert sieve(rows, asked.limit(0), {"a": "x", "b": "y"}).count() == 0
+
+
+def test_many_hashes_are_broadcast_as_bits(spark):
+    kept = sieve(spark.range(10), spark.range(200_000), {"id": "id"})
+    marks = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" in marks and kept.count() == 10
+    table = session._bits(spark.range(200_000).select(F.xxhash64("id").alias("_asked")), 1024)
+    assert table.count() == 1024 and len(table.first()["_bits"]) == 64  # 512 bytes a row: 0.5 MB, where the hashes themselves took over 20
+
+
 def test_staged_tables_are_packed(spark):
     found = stage(spark.range(0, 5, 1, 1), "packed")
     one = glob.glob(found.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "") + "/part-*.parquet")[0]
