@@ -89,8 +89,13 @@ def source_symbols(source: Column) -> Column:
     return union(refs(source), macro_calls(source), aliases(source), ctes(source))
 
 
-def node_symbols(name: Column, path: Column, used: Column) -> Column:
-    """What a node defines or uses, by its ``source_symbols``; its own name and file stem skip the stop words."""
+def node_symbols(name: Column, path: Column, source: Column) -> Column:
+    """What a node defines or uses; its own name and file stem skip the stop words."""
+    return named_symbols(name, path, source_symbols(source))
+
+
+def named_symbols(name: Column, path: Column, used: Column) -> Column:
+    """The same from the ``source_symbols`` that its source has been taken apart to."""
     own = F.array(clean_symbol(T.blank_if_null(name)), clean_symbol(T.stem(T.blank_if_null(path))))
     return union(own, used)
 

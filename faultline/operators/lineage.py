@@ -37,7 +37,7 @@ def profiles(nodes: DataFrame, files: DataFrame, texts: bool = True) -> DataFram
     used = S.source_symbols(text) if texts else F.coalesce("used", F.array().cast("array<string>"))
     return found.select(
         "run_key", "id", "pos", "name", "path", *([text.alias("text"), F.lower(text).alias("lowered")] if texts else []),
-        S.node_symbols(F.col("name"), F.col("path"), used).alias("symbols"),
+        S.named_symbols(F.col("name"), F.col("path"), used).alias("symbols"),
     )
 
 
