@@ -89,41 +89,24 @@ def tested_models(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     )
 
 
-def find_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``node_id`` to ``wanted(run_key, file)``: same path or same stem, first in order."""
-    path = T.slashes(F.col("path"))
-    keys = F.array_distinct(F.array(
-        F.struct(F.lit("path").alias("by"), path.alias("value")),
-        F.struct(F.lit("stem").alias("by"), F.col("name").alias("value")),
-        F.struct(F.lit("stem").alias("by"), T.stem(path).alias("value")),
-    ))
-    index = (
-        lineage_nodes(nodes).filter(T.blank_if_null(F.col("path")) != "")
-        .select("run_key", "id", "pos", F.inline(keys))
-    )
-    file = F.col("file")
-    asked = wanted.select("run_key", F.inline(F.array(
-        F.struct(F.lit("path").alias("by"), T.slashes(file).alias("value")), F.struct(F.lit("stem").alias("by"), T.stem(file).alias("value")),
-    )))
-    index = (
-        sieve(index, asked, {"run_key": "run_key", "by": "by", "value": "value"})
-        .groupBy("run_key", "by", "value")
-        .agg(F.min(F.struct("pos", "id")).alias("node"))
-    )
+def find_nodes(wanted: DataFrame, nodes: DataFrame, few: bool = True) -> DataFrame:
+    """Add ``node_id`` to ``wanted(run_key, file)``: same path or same stem, first in order.
 
-    def side(by: str, as_file: Column, out: str):
-        part = index.filter(F.col("by") == by).select("run_key", F.col("value").alias(by), F.col("node").alias(out))
-        return as_file.alias(by), part
-
-    path_col, by_path = side("path", T.slashes(F.col("file")), "path_node")
-    stem_col, by_stem = side("stem", T.stem(F.col("file")), "stem_node")
-    best = F.least("path_node", "stem_node")
-    return (
-        wanted.select("*", path_col, stem_col)
-        .join(by_path, ["run_key", "path"], "left")
-        .join(by_stem, ["run_key", "stem"], "left")
-        .select(*[F.col(c) for c in wanted.columns], best.getField("id").alias("node_id"))
-    )
+    A node of the same path has the same stem as well, so paths are looked up only if some file is written with
+    backslashes, of which the stem knows nothing.  ``few`` files cut the nodes before any shuffle.
+    """
+    path, file = T.slashes(F.col("path")), F.col("file")
+    by_paths = not wanted.filter(T.stem(file) != T.stem(T.slashes(file))).isEmpty()
+    usable = lineage_nodes(nodes).filter(T.blank_if_null(F.col("path")) != "")
+    found = wanted
+    for by, value, own in (("stem", T.stem(file), [F.col("name"), T.stem(path)]), ("path", T.slashes(file), [path]))[: 1 + by_paths]:
+        index = usable.select("run_key", "id", "pos", F.explode(F.array_distinct(F.array(*own))).alias(f"_{by}"))
+        if few:
+            index = sieve(index, wanted.select("run_key", value.alias(f"_{by}")), {"run_key": "run_key", f"_{by}": f"_{by}"})
+        first = index.groupBy("run_key", f"_{by}").agg(F.min(F.struct("pos", "id")).alias(f"{by}_node"))
+        found = found.withColumn(f"_{by}", value).join(first, ["run_key", f"_{by}"], "left")
+    best = F.least("path_node", "stem_node") if by_paths else F.col("stem_node")
+    return found.select(*[F.col(c) for c in wanted.columns], best.getField("id").alias("node_id"))
 
 
 def find_tests(failing: DataFrame, nodes: DataFrame) -> DataFrame:

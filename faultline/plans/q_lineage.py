@@ -93,7 +93,7 @@ def tested_models(i: Inputs) -> DataFrame:
         and (n.path = f.path or {D.stem('f.path')} = n.name or {D.stem('f.path')} = {D.stem('n.path')}) group by 1, 2""",
 )
 def nodes_of_files(i: Inputs) -> DataFrame:
-    return lineage.find_nodes(i.v_files.select("run_key", F.col("path").alias("file")), i.v_nodes)
+    return lineage.find_nodes(i.v_files.select("run_key", F.col("path").alias("file")), i.v_nodes, few=False)
 
 
 FAILING = IDS + f""",

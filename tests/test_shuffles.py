@@ -56,6 +56,21 @@ def test_rows_of_a_manifest_are_shuffled_once(spark, tables):
         assert made.select("run_key").distinct().count() == made.count()
 
 
+def test_all_files_find_their_nodes_with_one_shuffle_of_each(spark):
+    nodes = spark.createDataFrame(
+        [("r", 3, "a", "model", "sales", "models/old/s.sql"), ("r", 1, "b", "model", "x", "models/sales.sql"), ("r", 2, "c", "seed", None, "seeds/s.csv"), (None, 0, "d", "model", "s", "s.sql")],
+        "run_key string, pos int, id string, resource_type string, name string, path string",
+    )
+    files = spark.createDataFrame([("r", "models/sales.sql"), ("r", "models/old/s.sql"), ("r", "s.sql"), ("r", "none.sql"), ("r", None), (None, "s.sql"), ("r", "s.sql")], "run_key string, file string")
+    found = lineage.find_nodes(files, nodes, few=False)
+    got = sorted((str(r["run_key"]), str(r["file"]), r["node_id"]) for r in found.collect())
+    assert got == [("None", "s.sql", None), ("r", "None", None), ("r", "models/old/s.sql", "c"), ("r", "models/sales.sql", "b"), ("r", "none.sql", None), ("r", "s.sql", "c"), ("r", "s.sql", "c")]
+    assert plan(found.hint("merge")).count("Exchange") <= 2
+    back = files.withColumn("file", F.replace("file", F.lit("/"), F.lit("\\")))
+    by_path = {r["file"]: r["node_id"] for r in lineage.find_nodes(back, nodes).filter("run_key is not null").collect()}
+    assert by_path == {"models\\sales.sql": "b", "models\\old\\s.sql": "a", "s.sql": "c", "none.sql": None, None: None}
+
+
 @pytest.mark.parametrize("plain", [0, 100_000])
 def test_a_sieve_loses_no_asked_row(spark, monkeypatch, plain):
     monkeypatch.setattr(session, "PLAIN_KEYS", plain)
