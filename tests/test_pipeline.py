@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import errors, pipeline
+from faultline.operators import changes, errors, pipeline
 from faultline.sources import logs, manifest
 
 FILES = {
@@ -88,6 +88,20 @@ def test_failed_test_gets_upstream_impact_and_definitions(spark, tables, provide
     assert 'name="board" path="models/fin/board.sql" depth="2"' in impact and "prep_shops" not in impact
 
 
+def test_diffs_are_made_for_the_files_shown_only(spark, monkeypatch):
+    cases = spark.createDataFrame([("r", "a.sql"), ("r", "a.sql"), ("s", "new.sql"), ("t", "b.sql"), (None, "a.sql")], "run_key string, primary string")
+    schema = "run_key string, path string, text string"
+    files = spark.createDataFrame([(r, p, "x\ny") for r in ("r", "s", "t", None) for p in ("a.sql", "b.sql", "new.sql")], schema)
+    base = spark.createDataFrame([(r, p, "x\nz") for r in ("r", "s", None) for p in ("a.sql", "b.sql")], schema)
+    compared = []
+    line_changes = changes.line_changes
+    monkeypatch.setattr(pipeline.changes, "line_changes", lambda head, *rest, **kw: compared.append(head) or line_changes(head, *rest, **kw))
+    got = {(r["run_key"], r["primary"]): r["diff"] for r in pipeline.case_diffs(cases, files, base).collect()}
+    # a file that is new in a run with a base is added, one of a run without a base has no diff
+    assert got == {("r", "a.sql"): "-z\n+y", ("s", "new.sql"): "+x\n+y"}
+    assert sorted((r["run_key"], r["path"]) for r in compared[0].collect()) == [("r", "a.sql"), ("s", "new.sql"), ("t", "b.sql")]
+
+
 def test_syntax_error_keeps_the_primary_file_only(spark, tables):
     got = context(spark, tables, 'Database Error in model fact_sales (models/fin/fact_sales.sql)\nsyntax error at or near "from"')
     text = got["models/fin/fact_sales.sql"]
