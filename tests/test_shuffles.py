@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import lineage, resolve
+from faultline.operators import context, lineage, resolve
 from faultline.plans import inputs, q_io
 from faultline.plans.registry import Inputs
 from faultline import session
@@ -151,3 +151,26 @@ def test_a_manifest_file_per_key_by_several_tasks(spark, tmp_path, monkeypatch):
     found = glob.glob(str(tmp_path / "out/run_key=*/*.txt"))
     assert len(found) == 41 and len({f.rsplit("part-", 1)[1][:5] for f in found}) > 8
     assert spark.read.text(str(tmp_path / "out")).count() == 41
+
+
+def test_definitions_shuffle_only_edges_to_sources_and_files_of_definitions(spark, monkeypatch):
+    kept = {}
+    real = context.sieve
+
+    def noted(rows, asked, keys):
+        out = real(rows, asked, keys)
+        kept[tuple(keys)] = out
+        return out
+
+    monkeypatch.setattr(context, "sieve", noted)
+    nodes = spark.createDataFrame([("r", f"m{n}", f"models/m{n}.sql") for n in range(30)], "run_key string, id string, path string")
+    roots = nodes.select("run_key", F.col("id").alias("root_id"))
+    deps = spark.createDataFrame([("r", f"m{n}", k, d) for n in range(30) for k, d in enumerate(["m1", "m2", "s1" if n % 3 else "none"])], "run_key string, id string, pos int, dep_id string")
+    sources = spark.createDataFrame([("r", "s1", "one", "models/_s.yml"), ("r", "s2", "two", None), (None, "m1", "x", "y.yml")], "run_key string, id string, name string, path string")
+    files = spark.createDataFrame([("r", f"models/m{n}.sql", "select 1") for n in range(30)] + [("r", "models/_s.yml", "a"), ("r", "models/_log.yml", "b"), ("r", "models/_else.yml", "c")], FILES)
+    lines = spark.createDataFrame([("r", 1, "see models/_log.yml for it")], "run_key string, line_no long, line string")
+    none = roots.withColumn("signals", F.array(F.lit("")))
+    got = sorted((r["root_id"], r["key"], "_log" in r["text"]) for r in context.definition_sections(roots, lines, none, nodes, deps, sources, files).collect())
+    wanted = [row for n in range(30) for row in ([(f"m{n}", "definition_1", False), (f"m{n}", "definition_2", True)] if n % 3 else [(f"m{n}", "definition_1", True)])]
+    assert got == sorted(wanted)
+    assert kept["run_key", "dep_id"].count() == 20 and kept["run_key", "path"].count() == 2
